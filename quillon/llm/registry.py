@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL oracles."""
 
-from quillon.llm import queries_bpe, queries_mixing
+from quillon.llm import queries_bpe, queries_mixing, queries_quality
 
-_MODULES = (queries_mixing, queries_bpe)
+_MODULES = (queries_mixing, queries_quality, queries_bpe)
 
 
 def queries():
