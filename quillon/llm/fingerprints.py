@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks
+from quillon.llm.common import IdRanges
 from quillon.llm.shingles import shingle_hashes
 
 K = 256
@@ -95,21 +96,15 @@ def _ranged(rows: DataFrame) -> DataFrame:
     """``rows`` (``_id``, ``text``) with ``_range`` and ``_halo``: each row in its range of ids, the
     first of each range once more, as halo, at the end of the range before."""
     ids = rows.select("_id")
-    n = ids.count()
-    if not n:
+    ranges = IdRanges(ids, "_id", RANGE_ROWS, MAX_RANGES)
+    if ranges.empty:
         return rows.withColumn("_range", F.lit(0)).withColumn("_halo", F.lit(False))
-    m = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    at = [i / m for i in range(1, m)]
-    cuts = sorted(set(ids.agg(F.percentile_approx("_id", at, 10 * MAX_RANGES)).first()[0])) if at else []
-    bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    halvings = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(cuts).bit_length())))])
-    # cuts at or below the id, by binary search
-    place = F.aggregate(halvings, F.lit(0), lambda p, s: F.when(F.coalesce(F.get(bounds, p + s - 1) <= F.col("_id"), F.lit(False)), p + s).otherwise(p))
+    place = ranges.place(F.col("_id"))
     firsts = ids.withColumn("_range", place).groupBy("_range").agg(F.min("_id").alias("first")).orderBy("_range").collect()  # a row a range
     used = [r[0] for r in firsts]
     before = dict(zip(used, [used[-1], *used[:-1]], strict=True))
     first = {r[0]: r[1] for r in firsts}
-    every = range(len(cuts) + 1)
+    every = range(len(ranges.cuts) + 1)
     first_of = F.split(F.lit(",".join(str(first.get(r, "")) for r in every)), ",")
     before_of = F.split(F.lit(",".join(str(before.get(r, "")) for r in every)), ",")
     own = F.struct(F.col("_place").alias("r"), F.lit(False).alias("h"))
