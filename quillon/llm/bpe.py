@@ -172,20 +172,29 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, ids array<int>, decoded binary)`` of each row of ``docs``; map only, no shuffle."""
+    """``(doc_id, n_tokens, ids array<int>, decodes boolean)`` of each row of ``docs``; map only.
+
+    ``decodes`` tells whether the ids decode to the text's bytes.
+    """
 
     def run(batches):
         bpe = codec(ranks_path, pattern)
         for batch in batches:
             for part in chunks(batch, "text"):
-                ids = [bpe.encode(t) for t in part.column("text").to_pylist()]
+                texts = part.column("text").to_pylist()
+                ids = [bpe.encode(t) for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode_bytes(i) for i in ids], pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
+                    [
+                        part.column("doc_id"),
+                        pa.array([len(i) for i in ids], pa.int64()),
+                        pa.array(ids, pa.list_(pa.int32())),
+                        pa.array([bpe.decode_bytes(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)], pa.bool_()),
+                    ],
+                    names=["doc_id", "n_tokens", "ids", "decodes"],
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decodes boolean")
 
 
 def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.session import ship
+
 #: A word is a maximal run of anything but ASCII white space, in Java's and RE2's syntax.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What separates words.
@@ -15,6 +17,8 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``; executors get the package where they lack it."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

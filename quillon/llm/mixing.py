@@ -20,6 +20,9 @@ an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +96,7 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, keep:
         begin = F.lit(epoch) * F.col("source_size") + end - F.col("size")
         return F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("quota") - begin))
 
-    taken = sum((turn(e) for e in range(1, max_epochs)), turn(0))
+    taken = reduce(add, map(turn, range(max_epochs)))
     return placed.select(
         "doc_id",
         "source",
@@ -104,3 +107,18 @@ def mixed(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, keep:
         F.when(F.col("target") > 0, end / F.col("target")).alias("finish"),
         *[F.col(f"_keep_{c}").alias(c) for c in keep or []],
     )
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as they are taken, in order of virtual finish time.
+
+    Rows are whole: one in service at the cut is taken if at least half of it had been served.
+    Every turn but the last is served whole, so that is the same as rounding.
+    """
+    names = docs.columns
+    own = docs.select(*[F.col(c).alias(f"c{n}") for n, c in enumerate(names)], F.col("doc_id"), F.col("text").alias("_text"), F.col("source"))
+    rows = mixed(own, weights, max_epochs, keep=[f"c{n}" for n in range(len(names))], text_col="_text")
+    times = F.round(F.col("taken") / F.col("size")).cast("int")
+    turns = F.when((F.col("size") > 0) & (times > 0), F.sequence(F.lit(0), times - 1)).otherwise(F.array().cast("array<int>"))
+    out = rows.withColumn("turn", F.explode(turns)).withColumn("at", F.col("finish") + F.col("turn") * F.col("source_size") / F.col("target"))
+    return out.orderBy("at", "doc_id", "turn").select(*[F.col(f"c{n}").alias(c) for n, c in enumerate(names)])

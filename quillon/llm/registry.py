@@ -1,8 +1,8 @@
 """The subpackage's queries and their SQL oracles."""
 
-from quillon.llm import queries_bpe, queries_fingerprints, queries_licenses, queries_line_dedup, queries_mixing, queries_near_dedup, queries_quality, queries_substring_dedup, queries_warc
+from quillon.llm import queries_bpe, queries_fingerprints, queries_licenses, queries_line_dedup, queries_mixing, queries_near_dedup, queries_quality, queries_substring_dedup, queries_toxicity, queries_warc
 
-_MODULES = (queries_fingerprints, queries_licenses, queries_mixing, queries_near_dedup, queries_quality, queries_substring_dedup, queries_warc, queries_bpe, queries_line_dedup)
+_MODULES = (queries_fingerprints, queries_toxicity, queries_licenses, queries_mixing, queries_near_dedup, queries_quality, queries_substring_dedup, queries_warc, queries_bpe, queries_line_dedup)
 
 
 def queries():
