@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -44,6 +45,16 @@ def stored(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of the shuffle files of steps whose results are stored.
+
+    Spark deletes a shuffle's files when the driver's garbage collector finds that nothing refers
+    to it; between large steps that is asked for, so a step's files don't add to the next one's.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often ``body`` uses it.
 

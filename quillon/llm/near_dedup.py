@@ -1,19 +1,22 @@
 """MinHash near-dedup with odd sketches.
 
 1. Each text gets MinHash samples of its shingle set, band hashes of ``ROWS`` samples each, and an
-   odd sketch: the samples folded into a parity bitmap, so the population count of two bitmaps'
-   XOR tells how many samples differ, most precisely where similarity is high.  Texts with the
-   same shingle set become one class, represented by its smallest id, before anything else.
+   odd sketch: the MinHash samples of ``BINS`` parts of the hash space, folded into a parity
+   bitmap.  The population count of two bitmaps' XOR tells how many samples differ, most
+   precisely where similarity is high.  Texts with the same shingle set become one class,
+   represented by its smallest id, before anything else.
 2. Hubs: in each band bucket every member is held against the bucket's least and greatest member
    by odd sketch; of what passes, a member keeps its smallest and its most alike hub.  That is
    linear in the members, however large a bucket is, and joins most groups together.
-3. The rest: buckets that still hold different components get all pairs of members from
-   different components held against each other by odd sketch, in blocks, so no link is lost and
-   no pairs within a group that is joined already are made.
-4. What passes an odd sketch is confirmed on the full shingle sets, from the texts.
+3. Rounds: in buckets that still hold different components, each component proposes one pair with
+   another component, the most alike by odd sketch, then arbitrary ones that pass.  Each round is
+   linear too, and each joins what the rounds before have left apart.
+4. The rest: what passes the odd sketch between different components of a bucket and hasn't been
+   tried yet.  So no link is lost, and no pairs within a joined group are ever made.
+5. Every pair is confirmed on the full shingle sets, from the texts.
 
 ``ROWS`` and ``BANDS`` miss a pair at the threshold with probability 5e-6, and more similar ones
-far less; the sketch's cut is more than five standard errors below the threshold.
+far less; the sketch dismisses what lies five standard errors below the threshold.
 
 Defined results: null, empty and blank texts have no set, are linked with nothing and stay; a
 text of fewer words than a shingle has its whole sequence as its one shingle; rows with equal
@@ -23,8 +26,6 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks
-from quillon.llm.common import shared_dir, stored
+from quillon.llm.common import release, shared_dir, stored
 from quillon.llm.components import components
 from quillon.llm.shingles import mix, shingle_hashes
 
@@ -40,12 +41,13 @@ from quillon.llm.shingles import mix, shingle_hashes
 PERCENT = 85
 BANDS, ROWS = 26, 6
 SAMPLES = BANDS * ROWS
-#: Bits of an odd sketch.
-ODD_BITS = 512
-#: Similarity below which an odd sketch's estimate dismisses a pair.
-CUT = 0.65
-#: Buckets up to this size are joined with themselves, larger ones are dealt out in blocks.
-SMALL_BUCKET = 32
+#: Parts of the hash space that give a sketch its samples, and bits of the sketch.
+BINS, ODD_BITS = 1024, 1024
+#: Standard errors below the threshold from which a sketch dismisses a pair.
+ERRORS = 5.0
+#: Rounds of proposals before everything that is left is tried.
+ROUNDS = 3
+#: Members of a large bucket that are held against each other at once.
 BLOCK = 1024
 #: Partners of a hub that one group confirms.
 HUB_PARTNERS = 256
@@ -54,16 +56,6 @@ _A = (mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(n
 _SALT = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def max_differing_bits(cut: float = CUT) -> int:
-    """Population count of the XOR that stands for a similarity of ``cut``."""
-    return math.floor(ODD_BITS / 2 * (1 - math.exp(-4 * SAMPLES * (1 - cut) / ODD_BITS)))
-
-
-def estimate(differing: int) -> float:
-    """Similarity that a population count stands for."""
-    return 1 + ODD_BITS / (4 * SAMPLES) * math.log(max(1e-9, 1 - 2 * differing / ODD_BITS))
-
-
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
     """``SAMPLES`` MinHash samples of a set of 64-bit hashes."""
     h = (hashes >> np.uint64(32)).astype(np.uint32) ^ hashes.astype(np.uint32)
@@ -82,14 +74,44 @@ def band_hashes(samples: np.ndarray) -> np.ndarray:
     return mix(total).view(np.int64)
 
 
-def odd_sketch(samples: np.ndarray) -> np.ndarray:
-    """The parity bitmap of the samples, as ``ODD_BITS / 64`` signed words."""
-    at = (mix(samples.astype(np.uint64) ^ _SALT) % np.uint64(ODD_BITS)).astype(np.int64)
+def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """The parity bitmap of a set's samples, as ``ODD_BITS / 64`` signed words, and how many samples it has.
+
+    A sample is the least hash of a part of the hash space; ``hashes`` ascend, so it comes first.
+    """
+    _, first = np.unique(hashes & np.uint64(BINS - 1), return_index=True)
+    at = (mix(hashes[first] ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(ODD_BITS)).astype(np.int64)
     bits = (np.bincount(at, minlength=ODD_BITS) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.int64)
+    return np.packbits(bits).view(np.int64), len(first)
 
 
-_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>"
+def most_differing(n_a, n_b, filled_a, filled_b):
+    """Population count up to which the sketches of sets of ``n_a`` and ``n_b`` shingles may be those of
+    a pair at the threshold.  Numpy arrays or numbers.
+
+    At similarity J the union has (n_a + n_b) / (1 + J) elements, which fill some of the bins; a
+    share J of these has equal samples.  Errors come from sampling and from folding.
+    """
+    j = PERCENT / 100
+    union = (n_a + n_b) / (1 + j)
+    bins = BINS * (1 - np.exp(-union / BINS))
+    differ = np.maximum(0, filled_a + filled_b - 2 * j * bins)
+    sampling = 2 * np.sqrt(j * (1 - j) * bins * np.maximum(0.02, 1 - bins / union))
+    folding = np.sqrt(ODD_BITS / 4 * (1 - np.exp(-4 * differ / ODD_BITS))) / np.exp(-2 * differ / ODD_BITS)
+    most = differ + 4 + ERRORS * np.sqrt(sampling**2 + folding**2)
+    return np.floor(ODD_BITS / 2 * (1 - np.exp(-2 * most / ODD_BITS)))
+
+
+_SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>, filled int"
+
+
+def signature(raw: bytes | None) -> tuple[int, bytes | None, list[int], list[int], int]:
+    """Set size, set key, band hashes, odd sketch and its number of samples of a text."""
+    h = shingle_hashes(raw)
+    if not len(h):
+        return 0, None, [], [], 0
+    odd, filled = odd_sketch(h)
+    return len(h), xxhash.xxh3_128_digest(h.tobytes()), band_hashes(min_hashes(h)).tolist(), odd.tolist(), filled
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -98,42 +120,42 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                n, keys, bands, odds = [], [], [], []
-                for raw in part.column("text").cast(pa.binary()).to_pylist():
-                    h = shingle_hashes(raw)
-                    n.append(len(h))
-                    if len(h):
-                        samples = min_hashes(h)
-                        keys.append(xxhash.xxh3_128_digest(h.tobytes()))
-                        bands.append(band_hashes(samples).tolist())
-                        odds.append(odd_sketch(samples).tolist())
-                    else:
-                        keys.append(None)
-                        bands.append([])
-                        odds.append([])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(odds, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "set_key", "bands", "odd"],
-                )
+                rows = [signature(raw) for raw in part.column("text").cast(pa.binary()).to_pylist()]
+                kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
+                columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_shingles", "set_key", "bands", "odd", "filled"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
 
-def _differing(a: str, b: str):
-    """Population count of two sketches' XOR."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """The pairs (``a``, ``b``) whose sketches pass, with ``d``, the share of samples that differ."""
+    left = reps.select(F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "filled", "odd")])
+    right = reps.select(F.col("rep").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "filled", "odd")])
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "filled_a", "filled_b", "odd_a", "odd_b")
+
+    def run(batches):
+        for batch in batches:
+            ids, n, filled, odd = _columns(batch, ("a", "b")), _columns(batch, ("n_a", "n_b")), _columns(batch, ("filled_a", "filled_b")), [_words(batch.column(c)) for c in ("odd_a", "odd_b")]
+            d = np.bitwise_count(odd[0] ^ odd[1]).sum(axis=1, dtype=np.int64)
+            ok = _sizes_fit(*n) & (d <= most_differing(*n, *filled))
+            share = d / np.maximum(1, filled[0] + filled[1])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[0][ok]), pa.array(ids[1][ok]), pa.array(share[ok])], names=["a", "b", "d"])
 
+    return both.mapInArrow(run, "a long, b long, d double")
 
-def _sizes_fit(a: str, b: str):
-    return 100 * F.least(a, b) >= PERCENT * F.greatest(a, b)
 
+def _columns(batch, names) -> list[np.ndarray]:
+    return [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in names]
 
-def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """The pairs (``a``, ``b``) whose sketches pass, with ``d``, their differing bits."""
-    left = reps.select(F.col("rep").alias("a"), F.col("n").alias("_na"), F.col("odd").alias("_oa"))
-    right = reps.select(F.col("rep").alias("b"), F.col("n").alias("_nb"), F.col("odd").alias("_ob"))
-    both = pairs.join(left, "a").join(right, "b").where(_sizes_fit("_na", "_nb"))
-    return both.withColumn("d", _differing("_oa", "_ob")).where(F.col("d") <= max_differing_bits()).select("a", "b", "d")
+
+def _words(column) -> np.ndarray:
+    """Sketches as rows of words."""
+    return np.asarray(column.flatten(), dtype=np.int64).view(np.uint64).reshape(len(column), -1)
+
+
+def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -177,81 +199,144 @@ def _hub_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
     """Step 2's pairs: ``a`` the hub, ``b`` the member."""
     ends = buckets.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     member = buckets.join(ends, "bucket").select("rep", F.explode(F.array("lo", "hi")).alias("hub"))
-    pairs = member.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"), "rep").distinct()
-    good = _sketched(pairs.select("a", "b").distinct(), reps)
+    good = _sketched(member.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), reps)
     ways = good.select("a", "b", "d", F.col("b").alias("member"), F.col("a").alias("hub")).union(good.select("a", "b", "d", F.col("a").alias("member"), F.col("b").alias("hub")))
     best = ways.groupBy("member").agg(F.min(F.struct("hub", "d")).alias("x"), F.min(F.struct("d", "hub")).alias("y"))
     kept = best.select("member", F.explode(F.array("x.hub", "y.hub")).alias("hub"))
     return kept.select(F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b")).distinct()
 
 
-def _cross_pairs(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
-    """Step 3's pairs: members of one bucket in different components whose sketches pass."""
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several components, with ``label`` and the bucket's ``size``."""
     named = labels.withColumnRenamed("id", "_i")
     held = buckets.join(named, buckets["rep"] == named["_i"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
     mixed = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", "size")
-    rows = held.join(mixed, "bucket")
-    small = rows.where(F.col("size") <= SMALL_BUCKET)
-    left = small.select("bucket", F.col("rep").alias("a"), F.col("label").alias("_la"))
-    right = small.select("bucket", F.col("rep").alias("b"), F.col("label").alias("_lb"))
-    pairs = left.join(right, "bucket").where("a < b AND _la <> _lb").select("a", "b").distinct()
-    return _sketched(pairs, reps).select("a", "b").union(_block_pairs(rows.where(F.col("size") > SMALL_BUCKET), reps)).distinct()
+    return held.join(mixed, "bucket")
 
 
-def _block_pairs(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs across components in large buckets, by blocks of about ``BLOCK`` members.
+def _proposals(mixed: DataFrame, reps: DataFrame, number: int) -> DataFrame:
+    """Step 3's pairs of one round: one a component and bucket, or block of a large bucket."""
+    block = F.pmod(F.xxhash64("rep", F.lit(number)), F.ceil(F.col("size") / BLOCK)).cast("int")
+    return _compared(mixed.select("bucket", "rep", "label", block.alias("i"), F.lit(0).alias("j"), F.lit(True).alias("line"), F.lit(True).alias("any")), reps, number)
+
+
+def _rest(mixed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Step 4's pairs.
 
     The bucket's largest component isn't held against itself: its members meet the blocks of the
     others only, so the work is the others' number times the bucket's, not the bucket's squared.
     """
-    sizes = rows.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = mixed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
     top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("all")).select("bucket", F.col("x.label").alias("top"), (F.col("all") - F.col("x.n")).alias("others"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     other_blocks = F.ceil(F.col("others") / BLOCK).cast("int")
-    row = rows.join(top, "bucket").withColumn("is_other", F.col("label") != F.col("top"))
-    # a cell is (block of others, block of all); a row sits in its own column, an other also in its own line
-    as_any = row.select("bucket", "rep", "label", F.lit(False).alias("line"), F.explode(F.sequence(F.lit(0), other_blocks - 1)).alias("i"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("j"))
-    as_other = row.where("is_other").select("bucket", "rep", "label", F.lit(True).alias("line"), F.pmod(F.xxhash64("rep"), other_blocks).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    cells = as_any.union(as_other).join(reps.select("rep", "n", "odd"), "rep")
-    limit = max_differing_bits()
-
-    def run(table: pa.Table) -> pa.Table:
-        rep, label, n = (table.column(c).to_numpy() for c in ("rep", "label", "n"))
-        line = table.column("line").to_numpy(zero_copy_only=False)
-        odd = np.array(table.column("odd").to_pylist(), np.int64).view(np.uint64)
-        rest = np.flatnonzero(~line)
-        a, b = [], []
-        for x in np.flatnonzero(line):
-            y = rest[label[rest] != label[x]]
-            y = y[100 * np.minimum(n[y], n[x]) >= PERCENT * np.maximum(n[y], n[x])]
-            y = y[np.bitwise_count(odd[y] ^ odd[x]).sum(axis=1, dtype=np.int64) <= limit]
-            a.append(np.minimum(rep[y], rep[x]))
-            b.append(np.maximum(rep[y], rep[x]))
-        none = np.empty(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate([none, *a]), np.concatenate([none, *b])]), axis=1)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
-
-    return cells.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
+    row = mixed.join(top, "bucket").withColumn("is_other", F.col("label") != F.col("top"))
+    # a cell is (block of others, block of all): a row sits in its own column, an other also in its own line
+    own = F.pmod(F.xxhash64("rep"), other_blocks).cast("int")
+    place = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    column = F.transform(F.sequence(F.lit(0), other_blocks - 1), lambda i: F.struct(i.alias("i"), place.alias("j"), (F.col("is_other") & (i == own)).alias("line"), F.lit(True).alias("any")))
+    line = F.when(F.col("is_other"), F.filter(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("line"), F.lit(False).alias("any"))), lambda x: x["j"] != place)).otherwise(F.array())
+    cells = row.withColumn("_c", F.explode(F.concat(column, line))).select("bucket", "rep", "label", "_c.i", "_c.j", "_c.line", "_c.any")
+    return _compared(cells, reps, None)
+
+
+def _compared(cells: DataFrame, reps: DataFrame, number: int | None) -> DataFrame:
+    """Pairs of a cell's ``line`` members and its ``any`` members, of different components, whose
+    sketches pass: all of them, or in round ``number`` one for each component."""
+    placed = cells.join(reps.select("rep", "n", "filled", "odd"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+
+    def cell(rep, label, n, filled, odd, line, other):
+        rows, cols = np.flatnonzero(line), np.flatnonzero(other)
+        out = []
+        for x in np.array_split(rows, max(1, len(rows) * len(cols) >> 17)):
+            ok = (label[x][:, None] != label[cols]) & _sizes_fit(n[x][:, None], n[cols])
+            i, j = np.nonzero(ok)
+            i, j = x[i], cols[j]
+            d = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
+            good = d <= most_differing(n[i], n[j], filled[i], filled[j])
+            i, j, d = i[good], j[good], d[good]
+            if number is not None and len(i):
+                rank = d / (filled[i] + filled[j]) if number == 0 else mix((rep[i] ^ rep[j]).astype(np.uint64) + np.uint64(number))
+                order = np.lexsort((rank, label[i]))
+                i, j = i[order], j[order]
+                best = np.concatenate([[True], label[i][1:] != label[i][:-1]])
+                i, j = i[best], j[best]
+            out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
+        return np.concatenate(out, axis=1)
+
+    names = ("bucket", "i", "j", "rep", "label", "n", "filled", "line", "any")
+
+    def run(batches):
+        held = None  # the rows of the last cell, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = [*_columns(batch, names), _words(batch.column("odd"))]
+            if held is not None:
+                part = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)]
+            key = part[:3]
+            new = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
+            cuts = [0, *new.tolist()]
+            yield from told(part, cuts[:-1], cuts[1:])
+            held = [x[cuts[-1] :] for x in part]
+        if held is not None:
+            yield from told(held, [0], [len(held[0])])
+
+    def told(part, begins, ends):
+        found = []
+        for b, e in zip(begins, ends, strict=True):
+            if e - b > 1:
+                rep, label, n, filled, line, other, odd = (x[b:e] for x in part[3:])
+                if (label != label[0]).any():
+                    found.append(cell(rep, label, n, filled, odd, line > 0, other > 0))
+        if found:
+            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+            pairs = pairs[:, pairs[0] != pairs[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    return placed.select(*names, "odd").mapInArrow(run, "a long, b long").distinct()
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of each row of ``docs``."""
     spark = docs.sparkSession
     root = shared_dir(spark)
-    signed = stored(signatures(docs, id_col, text_col), root, "signatures")
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = stored(df, root, name)
+        release(spark)
+        return out
+
+    signed = keep(signatures(docs, id_col, text_col), "signatures")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key")
-    reps = stored(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd")), root, "classes")
-    buckets = reps.select(F.explode("bands").alias("bucket"), "rep")
-    hub_pairs = stored(_hub_pairs(buckets, reps), root, "hub-pairs")
-    hub_links = stored(confirmed(hub_pairs, docs, id_col, text_col), root, "hub-links")
-    labels = components(hub_links, root, "joined")
-    cross = stored(_cross_pairs(buckets, reps, labels).join(hub_pairs, ["a", "b"], "left_anti"), root, "cross-pairs")
-    links = hub_links
-    if cross.limit(1).count():
-        cross_links = stored(confirmed(cross, docs, id_col, text_col), root, "cross-links")
-        if cross_links.limit(1).count():
-            links = hub_links.union(cross_links)
-            labels = components(links, root, "all")
+    reps = keep(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("filled").alias("filled")), "classes")
+    every = reps.select(F.explode("bands").alias("bucket"), "rep")
+    shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
+    buckets = keep(every.join(shared, "bucket"), "buckets")
+    reps = reps.drop("bands")
+    # texts that may have to be compared, once out of all
+    wanted = buckets.select(F.col("rep").alias("_rep")).distinct()
+    plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = keep(plain.join(wanted, F.col("doc_id") == F.col("_rep"), "left_semi"), "texts")
+
+    tried = links = labels = None
+    for number in range(-1, ROUNDS + 1):
+        if number < 0:
+            pairs = _hub_pairs(buckets, reps)
+        else:
+            mixed = _mixed(buckets, labels)
+            pairs = _proposals(mixed, reps, number) if number < ROUNDS else _rest(mixed, reps)
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = keep(pairs, f"pairs{number}")
+        if number >= 0 and not pairs.limit(1).count():
+            continue
+        found = keep(confirmed(pairs, texts), f"links{number}")
+        tried = pairs if tried is None else tried.union(pairs)
+        if number >= 0 and not found.limit(1).count():
+            continue
+        links = found if links is None else links.union(found)
+        labels = components(links, root, f"labels{number}")
+        release(spark)
     # an id with several texts ties their classes together
     label_of = labels.withColumnRenamed("id", "_i")
     found = signed.join(reps.select("set_key", "rep"), "set_key", "left").join(label_of, F.col("rep") == F.col("_i"), "left")
@@ -262,5 +347,5 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each group: rows and columns as they are."""
-    gone = grouped(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = grouped(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__q_gone")).distinct()
+    return docs.join(gone, F.col(id_col) == F.col("__q_gone"), "left_anti")
