@@ -118,10 +118,11 @@ class ByteBPE:
         for match in self.matches(text or ""):
             m = self.mapped(match[0].encode())
             whole = self.vocab.get(m)
-            # characters of the mapped match are its bytes, so the library's offsets are byte offsets
-            tokens = [(whole, 0, len(m))] if whole is not None else [(t.id, *t.offsets) for t in self.model.tokenize(m)]
-            out += [(i, at + a, at + b) for i, a, b in tokens]
-            at += len(m)
+            # a mapped character is a byte of the text, so the lengths of the tokens' texts are byte lengths
+            tokens = [(whole, m)] if whole is not None else [(t.id, t.value) for t in self.model.tokenize(m)]
+            for i, value in tokens:
+                out.append((i, at, at + len(value)))
+                at += len(value)
         return out
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:

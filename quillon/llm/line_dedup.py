@@ -60,12 +60,12 @@ def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
     # a chunk needs a line end, so texts without one aren't cut
     rows = docs.where(F.col(id_col).isNotNull() & F.contains(F.col(text_col), F.lit("\n")))
-    return rows.select(F.col(id_col).alias("_id"), F.explode(found).alias("_c")).select("_id", F.col("_c.digest").alias("_digest"), F.array_join("_c.lines", "\n").alias("_bytes"))
+    return rows.select(F.col(id_col).alias("__q_id"), F.explode(found).alias("_c")).select("__q_id", F.col("_c.digest").alias("_digest"), F.array_join("_c.lines", "\n").alias("_bytes"))
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(_digest, _home)``: chunks of several documents and the smallest id that has each."""
-    by_bytes = _numbered(docs, id_col, text_col).groupBy("_digest", "_bytes").agg(F.min("_id").alias("_home"), F.max("_id").alias("_far"))
+    by_bytes = _numbered(docs, id_col, text_col).groupBy("_digest", "_bytes").agg(F.min("__q_id").alias("_home"), F.max("__q_id").alias("_far"))
     by_digest = by_bytes.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min("_home").alias("_home"), F.max("_far").alias("_far"))
     return by_digest.where((F.col("_n") == 1) & (F.col("_far") > F.col("_home"))).select("_digest", "_home")
 
@@ -76,23 +76,23 @@ def deduped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sta
     With ``stats``, adds ``n_lines`` and ``n_removed_lines`` (of the same names a table has
     already, these replace).
     """
-    chunks = _numbered(docs, id_col, text_col).select("_id", "_digest")
+    chunks = _numbered(docs, id_col, text_col).select("__q_id", "_digest")
     gone = (
         chunks.join(repeated_chunks(docs, id_col, text_col), "_digest")
-        .where(F.col("_id") > F.col("_home"))
-        .groupBy("_id")
-        .agg(F.collect_set("_digest").alias("_gone"))  # of one document's chunks
+        .where(F.col("__q_id") > F.col("_home"))
+        .groupBy("__q_id")
+        .agg(F.collect_set("_digest").alias("__q_gone"))  # of one document's chunks
     )
-    joined = docs.join(gone, docs[id_col] == gone["_id"], "left")
+    joined = docs.join(gone, F.col(id_col) == F.col("__q_id"), "left")
     none = F.array().cast("array<string>")
 
     def rest(c: Column) -> Column:
         keys = F.transform(c, lambda x: x["digest"])
-        return let(keys, lambda k: F.filter(c, lambda x, n: (F.size(x["lines"]) < MIN_LINES) | ((F.array_position(k, x["digest"]) == n + 1) & ~F.array_contains(F.coalesce(F.col("_gone"), none), x["digest"]))))
+        return let(keys, lambda k: F.filter(c, lambda x, n: (F.size(x["lines"]) < MIN_LINES) | ((F.array_position(k, x["digest"]) == n + 1) & ~F.array_contains(F.coalesce(F.col("__q_gone"), none), x["digest"]))))
 
     kept = let(chunks_of(F.col(text_col)), lambda c: F.flatten(F.transform(rest(c), lambda x: x["lines"])))
-    out = joined.withColumn("_kept", F.when(F.contains(F.col(text_col), F.lit("\n")), kept))
+    out = joined.withColumn("__q_kept", F.when(F.contains(F.col(text_col), F.lit("\n")), kept))
     n = F.size(F.split(F.col(text_col), "\n"))
     if stats:
-        out = out.withColumn("n_lines", F.coalesce(n, F.lit(0)).cast("long")).withColumn("n_removed_lines", F.coalesce(n - F.size("_kept"), F.lit(0)).cast("long"))
-    return out.withColumn(text_col, F.when(F.col("_kept").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col(text_col))).drop("_id", "_gone", "_kept")
+        out = out.withColumn("n_lines", F.coalesce(n, F.lit(0)).cast("long")).withColumn("n_removed_lines", F.coalesce(n - F.size("__q_kept"), F.lit(0)).cast("long"))
+    return out.withColumn(text_col, F.when(F.col("__q_kept").isNotNull(), F.array_join("__q_kept", "\n")).otherwise(F.col(text_col))).drop("__q_id", "__q_gone", "__q_kept")

@@ -84,8 +84,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> list[float]:
     """The log ratios of a corpus and its labels."""
     # at most TRUSTED_DOCS ids of 8 bytes, so the broadcast is bounded
     ids = F.broadcast(trusted_ids(labels).withColumnRenamed("doc_id", "_id"))
-    target = feature_counts(docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi"))
-    return log_ratios(target, feature_counts(docs))
+    texts = docs.select("doc_id", "text")
+    target = feature_counts(texts.join(ids, F.col("doc_id") == F.col("_id"), "left_semi"))
+    return log_ratios(target, feature_counts(texts))
 
 
 def score_of(words: Column, ratios: list[float]) -> Column:

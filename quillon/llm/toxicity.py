@@ -213,7 +213,7 @@ def sample_of(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> D
     digest = F.md5(F.col("doc_id").cast("string"))
     ids = known.orderBy(digest, "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), "_toxic", (F.conv(F.substring(digest, 25, 8), 16, 10).cast("long") % 3).cast("int").alias("_part"))
     # at most ``limit`` rows of 16 bytes
-    return docs.join(F.broadcast(ids), docs["doc_id"] == ids["_id"]).select(docs["text"].alias("text"), F.col("_toxic").alias("toxic"), F.col("_part").alias("part"))
+    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"), F.col("_part").alias("part"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
