@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks
-from quillon.llm.common import shared_dir, stored
+from quillon.llm.common import release, shared_dir, stored
 from quillon.llm.shingles import mix
 from quillon.llm.suffix_array import common_prefixes, suffix_array
 
@@ -179,8 +179,9 @@ def _batch_events(rows: list[tuple[int, int, bytes]], length: int) -> pa.RecordB
         for one in np.split(gone, cut):
             b, e = merged_runs(first[one], last[one] + length)
             n = len(b)
-            for column, value in zip(out, (np.ones(n), np.zeros(n), np.zeros(n), np.full(n, ids[one[0]]), np.full(n, ths[one[0]]), b, e, np.zeros(n)), strict=True):
-                column.append(value.astype(np.int64))
+            spread = mix(b.astype(_U) * _U(_P) + _U(int(ids[one[0]]) & (2**64 - 1))).view(np.int64)
+            for column, value in zip(out, (np.ones(n), spread, spread, np.full(n, ids[one[0]]), np.full(n, ths[one[0]]), b, e, np.zeros(n)), strict=True):
+                column.append(value.astype(np.int64, copy=False))
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
     names = [x.split()[0] for x in _EVENTS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)).cast(t) for c, t in zip(out, kinds, strict=True)], names=names)
@@ -211,22 +212,22 @@ def _events(texts: DataFrame, length: int) -> DataFrame:
 def _judged(events: DataFrame, length: int) -> DataFrame:
     """Repeats that hashes show, as runs (kind 1), and the different segments of groups that have
     several (kind 0, with ``n``, how many)."""
-    cuts = events.where("kind = 0")
-    same = Window.partitionBy("part", "segment").orderBy("id", "th", "first")
-    group = Window.partitionBy("part")
+    # one shuffle, by group, serves both windows; runs go along, spread by an arbitrary part
+    rows = events.repartition("part")
+    same = Window.partitionBy("part", "kind", "segment").orderBy("id", "th", "first")
+    group = Window.partitionBy("part", "kind")
     home = F.struct("id", "th", "first")
     ranked = (
-        cuts.withColumn("nth", F.row_number().over(same))
+        rows.withColumn("nth", F.row_number().over(same))
         .withColumn("home", F.first(home).over(same))
         .withColumn("n", F.sum(F.when(F.col("nth") == 1, 1)).over(group))
     )
-    found = ranked.where("nth > 1 OR n > 1")
-    repeat = F.col("nth") > 1
+    is_run = F.col("kind") == 1
+    repeat = ~is_run & (F.col("nth") > 1)
     twin = repeat & (home == F.col("home"))  # a row given twice
-    cut = found.where(~twin).select(
-        repeat.cast("int").alias("kind"), "part", F.col("n").cast("long").alias("n"), "id", "th", "first", F.when(repeat, F.col("last") + length).otherwise(F.col("last")).alias("last"), "lead"
+    return ranked.where(is_run | ((repeat | (F.col("n") > 1)) & ~twin)).select(
+        (is_run | repeat).cast("int").alias("kind"), "part", F.col("n").cast("long").alias("n"), "id", "th", "first", F.when(repeat, F.col("last") + length).otherwise(F.col("last")).alias("last"), "lead"
     )
-    return cut.union(events.where("kind = 1").select("kind", "part", F.lit(0).cast("long").alias("n"), "id", "th", "first", "last", "lead"))
 
 
 _PIECES = "kind int, key long, id long, th int, first int, last int, raw binary"
@@ -265,7 +266,7 @@ def _pieces(judged: DataFrame, texts: DataFrame, length: int) -> DataFrame:
                 out, seen = [], {}
                 rows = zip(some.column("id").to_pylist(), some.column("th").to_pylist(), some.column("text").cast(pa.binary()).to_pylist(), some.column("cuts").to_pylist(), strict=True)
                 for i, th, raw, cuts in sorted(rows, key=lambda r: r[:2]):
-                    for c in cuts:
+                    for c in sorted(cuts, key=lambda c: c["first"]):  # the earliest of equal pieces stays
                         for key, first, last in finer(raw, **c):
                             piece = raw[first : last + length]
                             if c["n"] > COARSE:
@@ -363,13 +364,16 @@ def _resolved(docs: DataFrame, length: int, id_col: str, text_col: str, schema:
     root = shared_dir(docs.sparkSession)
     texts = _keyed(docs, id_col, text_col)
     judged = stored(_judged(_events(texts, length), length), root, "judged")
+    release(docs.sparkSession)
     pieces = stored(_pieces(judged, texts, length), root, "pieces")
+    release(docs.sparkSession)
     runs = (
         judged.where("kind = 1").select("id", "th", "first", "last")
         .union(pieces.where("kind = 1").select("id", "th", "first", "last"))
         .union(_array_repeats(pieces, length))
     )
     by_text = stored(runs.groupBy("id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs")), root, "runs")
+    release(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
