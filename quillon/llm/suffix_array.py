@@ -54,15 +54,15 @@ def _induced(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, alphabet: in
         if len(rest):
             by = np.argsort(rest_chars, kind="stable")
             rest, rest_chars = rest[by], rest_chars[by]
-            cuts = np.flatnonzero(rest_chars[1:] != rest_chars[:-1]) + 1
-            for part in np.split(rest, cuts):
-                to.setdefault(int(s[part[0]]), []).append(part)
+            cuts = (np.flatnonzero(rest_chars[1:] != rest_chars[:-1]) + 1).tolist()
+            for x, y in zip([0, *cuts], [*cuts, len(rest)], strict=True):
+                to.setdefault(int(rest_chars[x]), []).append(rest[x:y])
         return found[mine]
 
     larger: dict[int, list] = {}
     for c in used:
         c = int(c)
-        got = larger.get(c, [])
+        got = larger[c] = [np.concatenate(larger[c])] if c in larger else []
         at = 0
         while at < len(got):  # grows while runs of c go on
             prev = got[at] - 1
@@ -71,7 +71,6 @@ def _induced(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, alphabet: in
             prev = prev[~smaller[prev]]
             if len(prev) and len(mine := spread(prev, larger, c)):
                 got.append(mine)
-                larger[c] = got
         mine = seeds[seed_at[c] : seed_at[c + 1]]
         prev = mine[mine > 0] - 1
         prev = prev[~smaller[prev]]
@@ -80,7 +79,7 @@ def _induced(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, alphabet: in
     less: dict[int, list] = {}  # from each bucket's end to its begin
     for c in used[::-1]:
         c = int(c)
-        got = less.get(c, [])
+        got = less[c] = [np.concatenate(less[c])] if c in less else []
         at = 0
         while at < len(got):
             prev = got[at] - 1
@@ -89,9 +88,8 @@ def _induced(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, alphabet: in
             prev = prev[smaller[prev]]
             if len(prev) and len(mine := spread(prev, less, c)):
                 got.append(mine)
-                less[c] = got
-        for part in reversed(larger.get(c, [])):
-            prev = part[::-1] - 1
+        if c in larger and larger[c]:
+            prev = np.concatenate(larger[c])[::-1] - 1
             prev = prev[prev >= 0]
             prev = prev[smaller[prev]]
             if len(prev):
@@ -166,7 +164,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions of the suffixes of a byte array in ascending order."""
     if not len(text):
         return np.zeros(0, np.int64)
-    s = np.empty(len(text) + 1, np.int64)
+    s = np.empty(len(text) + 1, np.int16)  # 16-bit keys are sorted by radix
     s[:-1] = text
     s[:-1] += 1
     s[-1] = 0
