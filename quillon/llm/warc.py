@@ -35,7 +35,7 @@ from quillon.llm.common import IdRanges, stored
 ROLL_BYTES = 16 << 20
 #: Payloads of at least so many bytes can be revisited.
 MIN_REVISIT_BYTES = 0
-RANGE_ROWS = 4000
+RANGE_ROWS = 2000
 #: Every record's date: pages have none of their own.
 DATE = "2024-01-01T00:00:00Z"
 SOFTWARE = "quillon"
@@ -160,7 +160,7 @@ def write_archive(pages: DataFrame, root: str, roll: int = ROLL_BYTES, min_revis
         rows.select("page_id", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("home"), "url", "html")
     )
     ranges = IdRanges(rows.select("page_id"), "page_id", rows_each)
-    placed = kinds.withColumn("shard", ranges.place(F.col("page_id"))).repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    placed = kinds.withColumn("shard", ranges.place(F.col("page_id"))).repartition(len(ranges.cuts) + 1, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
 
     def run(batches):
         files, refer = None, {}
@@ -231,4 +231,5 @@ def read_archive(spark: SparkSession, root: str, manifest: DataFrame) -> DataFra
                     yield batch_of(held)
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, html string"
-    return manifest.select("file").repartition("file").mapInArrow(run, schema)
+    # a number of its own, else small rows that stand for large files would be put together
+    return manifest.select("file").repartition(max(1, manifest.count()), "file").mapInArrow(run, schema)
