@@ -17,7 +17,9 @@
 
 ``ROWS`` and ``BANDS`` miss a pair at the threshold with probability 5e-6, and more similar ones
 far less; the sketch dismisses what lies 4.5 standard errors below the threshold, which a pair at the
-threshold does with probability 3e-6.
+threshold does with probability 3e-6 by the normal law.  Simulated at 0.85, none of 1.38 million
+pairs was dismissed: of 200,000 to 300,000 for each of 20, 40, 60, 100 and 200 shingles in the
+union, 100,000 of 400, 50,000 of 800, and fewer above (1,500 of 20,000).
 
 Defined results: null, empty and blank texts have no set, are linked with nothing and stay; a
 text of fewer words than a shingle has its whole sequence as its one shingle; rows with equal
@@ -90,14 +92,28 @@ def most_differing(n_a, n_b, filled_a, filled_b):
     """Population count up to which the sketches of sets of ``n_a`` and ``n_b`` shingles may be those of
     a pair at the threshold.  Numpy arrays or numbers.
 
-    At similarity J the union has (n_a + n_b) / (1 + J) elements, which fill some of the bins; a
-    share J of these has equal samples.  Errors come from sampling and from folding.
+    At similarity J the union has (n_a + n_b) / (1 + J) elements, a share J of them in both sets.
+    Of the bins they fill, those with equal samples (E) and the samples in all (S, which is known)
+    vary together: what differs, S - 2 E, is taken at the S there is, and its error is what S
+    doesn't explain.  Elements are dealt to the bins as Poisson counts, then corrected for the
+    numbers of elements being given.  Folding adds its own error.
     """
     j = PERCENT / 100
-    union = (n_a + n_b) / (1 + j)
-    bins = BINS * (1 - np.exp(-union / BINS))
-    differ = np.maximum(0, filled_a + filled_b - 2 * j * bins)
-    sampling = 2 * np.sqrt(j * (1 - j) * bins * np.maximum(0.02, 1 - bins / union))
+    union = np.maximum(1e-9, (n_a + n_b) / (1 + j) / BINS)  # elements a bin
+    a, b = n_a / BINS, n_b / BINS
+    both, only_a, only_b = j * union, np.maximum(0, a - j * union), np.maximum(0, b - j * union)
+    out_a, out_b, out = np.exp(-a), np.exp(-b), np.exp(-union)  # chances that a bin is empty
+    # means a bin, and how they move with the elements in both sets or in one
+    e, s = j * (1 - out), 2 - out_a - out_b
+    e_one = j * out - e / union
+    e_both = e_one + (1 - out) / union
+    var_e = e * (1 - e) - both * e_both**2 - (only_a + only_b) * e_one**2
+    var_s = out_a * (1 - out_a) + out_b * (1 - out_b) + 2 * (out - out_a * out_b) - both * (out_a + out_b) ** 2 - only_a * out_a**2 - only_b * out_b**2
+    cov = e * (out_a + out_b) - both * e_both * (out_a + out_b) - only_a * e_one * out_a - only_b * e_one * out_b
+    slope = np.where(var_s > 1e-9, cov / np.maximum(1e-9, var_s), 0)
+    total = filled_a + filled_b
+    differ = np.maximum(0, total - 2 * (BINS * e + slope * (total - BINS * s)))
+    sampling = 2 * np.sqrt(BINS * np.maximum(0, var_e - slope * cov))
     once = np.exp(-4 * differ / ODD_BITS)
     folding = np.sqrt(np.maximum(0, ODD_BITS / 4 * (1 - once) - differ * once) / once)
     most = differ + 2 + ERRORS * np.sqrt(sampling**2 + folding**2)

@@ -330,6 +330,19 @@ def test_sketches_pass_what_is_alike():
             assert np.bitwise_count((x ^ y).view(np.uint64)).sum() > near_dedup.most_differing(len(A), len(B), fx, fy)
 
 
+def test_sketches_pass_pairs_at_the_threshold():
+    r = np.random.default_rng(10)
+    for n in (40, 100, 200, 400, 800, 1600, 6000):
+        both = -(-85 * n // 100)
+        for _ in range(400):
+            h = r.integers(0, 2**64, n, dtype=np.uint64)
+            cut = both + (n - both) // 2
+            A, B = np.sort(h[:cut]), np.sort(np.concatenate([h[:both], h[cut:]]))
+            (x, fx), (y, fy) = near_dedup.odd_sketch(A), near_dedup.odd_sketch(B)
+            d = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
+            assert d <= near_dedup.most_differing(len(A), len(B), fx, fy), n
+
+
 def test_near_dedup_odd_rows(spark):
     got = near_dedup.grouped(odd(spark)).collect()
     assert len(got) == 12
