@@ -5,7 +5,7 @@ kept and the folder of the tables.  All but the last return the columns of ``doc
 
 1. toxicity: rows that score 0.5 or more go;
 2. line dedup: chunks of lines that repeat leave the texts, no row goes;
-3. near dedup: of each group of near copies the row with the smallest id stays;
+3. near dedup: of each group of near copies, alike by ``NEAR_PERCENT`` of five-word shingles, the row with the smallest id stays;
 4. mixing: rows are taken as often as their source's target asks, in order of virtual finish time;
 5. byte-level BPE: token ids of each row, and whether they decode to its text.
 """
@@ -22,6 +22,8 @@ from quillon.llm.queries_toxicity import held_out
 
 #: The model's segments and the tokenizer's merges are beyond SQL; tests use brute force.
 ORACLE_SQL = None
+#: Near copies go from this resemblance on.
+NEAR_PERCENT = 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +38,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.kept_documents(docs).select(docs.columns)
+    return near_dedup.kept_documents(docs, percent=NEAR_PERCENT).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """MinHash near-dedup with odd sketches.
 
-1. Each text gets MinHash samples of its shingle set, band hashes of ``ROWS`` samples each, and an
+1. Each text gets MinHash samples of its shingle set, band hashes of some samples each, and an
    odd sketch: the MinHash samples of ``BINS`` parts of the hash space, folded into a parity
    bitmap.  The population count of two bitmaps' XOR tells how many samples differ, most
    precisely where similarity is high.  Texts with the same shingle set become one class,
@@ -15,7 +15,8 @@
    tried yet.  So no link is lost, and no pairs within a joined group are ever made.
 5. Every pair is confirmed on the full shingle sets, from the texts.
 
-``ROWS`` and ``BANDS`` miss a pair at the threshold with probability 5e-6, and more similar ones
+Bands are chosen by the threshold (26 of 6 samples at 0.85, 31 of 5 at 0.8): they miss a pair at the
+threshold with probability 5e-6, and more similar ones
 far less; the sketch dismisses what lies 4.5 standard errors below the threshold, which a pair at the
 threshold does with probability 3e-6 by the normal law.  Simulated at 0.85, none of 1.38 million
 pairs was dismissed: of 200,000 to 300,000 for each of 20, 40, 60, 100 and 200 shingles in the
@@ -40,10 +41,11 @@ from quillon.llm.common import release, shared_dir, stored
 from quillon.llm.components import components
 from quillon.llm.shingles import mix, shingle_hashes
 
-#: Documents are linked from this per cent of resemblance on.
+#: Documents are linked from this per cent of resemblance on, where a caller names no other.
 PERCENT = 85
-BANDS, ROWS = 26, 6
-SAMPLES = BANDS * ROWS
+SAMPLES = 156
+#: Bands may miss a pair at the threshold with this probability.
+MISS = 6e-6
 #: Parts of the hash space that give a sketch its samples, and bits of the sketch.
 BINS, ODD_BITS = 2048, 2048
 #: Standard errors below the threshold from which a sketch dismisses a pair.
@@ -68,11 +70,19 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(samples: np.ndarray) -> np.ndarray:
+def banding(percent: int = PERCENT) -> tuple[int, int]:
+    """Number of bands and samples a band: the longest bands that miss no more than ``MISS``."""
+    for rows in range(SAMPLES, 0, -1):
+        if (1 - (percent / 100) ** rows) ** (SAMPLES // rows) <= MISS:
+            return SAMPLES // rows, rows
+    raise ValueError(f"{SAMPLES} samples are too few for {percent} per cent")
+
+
+def band_hashes(samples: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One signed 64-bit hash a band; bands never share a hash but by accident."""
-    x = mix(samples.astype(np.uint64) + _SALT).reshape(BANDS, ROWS)
+    x = mix(samples.astype(np.uint64) + _SALT)[: bands * rows].reshape(bands, rows)
     total = x[:, 0].copy()
-    for k in range(1, ROWS):
+    for k in range(1, rows):
         total = mix(total) + x[:, k]
     return mix(total).view(np.int64)
 
@@ -88,7 +98,7 @@ def odd_sketch(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     return np.packbits(bits).view(np.int64), len(first)
 
 
-def most_differing(n_a, n_b, filled_a, filled_b):
+def most_differing(n_a, n_b, filled_a, filled_b, percent: int = PERCENT):
     """Population count up to which the sketches of sets of ``n_a`` and ``n_b`` shingles may be those of
     a pair at the threshold.  Numpy arrays or numbers.
 
@@ -98,7 +108,7 @@ def most_differing(n_a, n_b, filled_a, filled_b):
     doesn't explain.  Elements are dealt to the bins as Poisson counts, then corrected for the
     numbers of elements being given.  Folding adds its own error.
     """
-    j = PERCENT / 100
+    j = percent / 100
     union = np.maximum(1e-9, (n_a + n_b) / (1 + j) / BINS)  # elements a bin
     a, b = n_a / BINS, n_b / BINS
     both, only_a, only_b = j * union, np.maximum(0, a - j * union), np.maximum(0, b - j * union)
@@ -123,22 +133,23 @@ def most_differing(n_a, n_b, filled_a, filled_b):
 _SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, odd array<long>, filled int"
 
 
-def signature(raw: bytes | None) -> tuple[int, bytes | None, list[int], list[int], int]:
+def signature(raw: bytes | None, bands: int, rows: int) -> tuple[int, bytes | None, list[int], list[int], int]:
     """Set size, set key, band hashes, odd sketch and its number of samples of a text."""
     h = shingle_hashes(raw)
     if not len(h):
         return 0, None, [], [], 0
     odd, filled = odd_sketch(h)
-    return len(h), xxhash.xxh3_128_digest(h.tobytes()), band_hashes(min_hashes(h)).tolist(), odd.tolist(), filled
+    return len(h), xxhash.xxh3_128_digest(h.tobytes()), band_hashes(min_hashes(h), bands, rows).tolist(), odd.tolist(), filled
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Set size, set key, band hashes and odd sketch of each text.  Map only."""
+    shape = banding(percent)
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                rows = [signature(raw) for raw in part.column("text").cast(pa.binary()).to_pylist()]
+                rows = [signature(raw, *shape) for raw in part.column("text").cast(pa.binary()).to_pylist()]
                 kinds = [pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int32()]
                 columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_shingles", "set_key", "bands", "odd", "filled"])
@@ -146,7 +157,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
 
 
-def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (``a``, ``b``) whose sketches pass, with ``d``, the share of samples that differ."""
     left = reps.select(F.col("rep").alias("a"), *[F.col(c).alias(f"{c}_a") for c in ("n", "filled", "odd")])
     right = reps.select(F.col("rep").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("n", "filled", "odd")])
@@ -156,7 +167,7 @@ def _sketched(pairs: DataFrame, reps: DataFrame) -> DataFrame:
         for batch in batches:
             ids, n, filled, odd = _columns(batch, ("a", "b")), _columns(batch, ("n_a", "n_b")), _columns(batch, ("filled_a", "filled_b")), [_words(batch.column(c)) for c in ("odd_a", "odd_b")]
             d = np.bitwise_count(odd[0] ^ odd[1]).sum(axis=1, dtype=np.int64)
-            ok = _sizes_fit(*n) & (d <= most_differing(*n, *filled))
+            ok = _sizes_fit(*n, percent) & (d <= most_differing(*n, *filled, percent))
             share = d / np.maximum(1, filled[0] + filled[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids[0][ok]), pa.array(ids[1][ok]), pa.array(share[ok])], names=["a", "b", "d"])
 
@@ -172,11 +183,11 @@ def _words(column) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.int64).view(np.uint64).reshape(len(column), -1)
 
 
-def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Those of the pairs (``a``, ``b``) whose texts' full shingle sets are alike enough.
 
     ``a``'s text meets ``HUB_PARTNERS`` partners or so at a time; a worker holds one hub's set.
@@ -203,7 +214,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
                         continue
                     for other in hub_sets:
                         n = len(np.intersect1d(own, other, assume_unique=True))
-                        if n and 100 * n >= PERCENT * (len(own) + len(other) - n):
+                        if n and 100 * n >= percent * (len(own) + len(other) - n):
                             links.append((a, i))
                             break
                 if links:
@@ -213,11 +224,11 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
     return placed.mapInArrow(run, "a long, b long")
 
 
-def _hub_pairs(buckets: DataFrame, reps: DataFrame) -> DataFrame:
+def _hub_pairs(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Step 2's pairs: ``a`` the hub, ``b`` the member."""
     ends = buckets.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi")
     member = buckets.join(ends, "bucket").select("rep", F.explode(F.array("lo", "hi")).alias("hub"))
-    good = _sketched(member.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), reps)
+    good = _sketched(member.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), reps, percent)
     ways = good.select("a", "b", "d", F.col("b").alias("member"), F.col("a").alias("hub")).union(good.select("a", "b", "d", F.col("a").alias("member"), F.col("b").alias("hub")))
     best = ways.groupBy("member").agg(F.min(F.struct("hub", "d")).alias("x"), F.min(F.struct("d", "hub")).alias("y"))
     kept = best.select("member", F.explode(F.array("x.hub", "y.hub")).alias("hub"))
@@ -232,13 +243,13 @@ def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     return held.join(mixed, "bucket")
 
 
-def _proposals(mixed: DataFrame, reps: DataFrame, number: int) -> DataFrame:
+def _proposals(mixed: DataFrame, reps: DataFrame, number: int, percent: int) -> DataFrame:
     """Step 3's pairs of one round: one a component and bucket, or block of a large bucket."""
     block = F.pmod(F.xxhash64("rep", F.lit(number)), F.ceil(F.col("size") / BLOCK)).cast("int")
-    return _compared(mixed.select("bucket", "rep", "label", block.alias("i"), F.lit(0).alias("j"), F.lit(True).alias("line"), F.lit(True).alias("any")), reps, number)
+    return _compared(mixed.select("bucket", "rep", "label", block.alias("i"), F.lit(0).alias("j"), F.lit(True).alias("line"), F.lit(True).alias("any")), reps, number, percent)
 
 
-def _rest(mixed: DataFrame, reps: DataFrame) -> DataFrame:
+def _rest(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Step 4's pairs.
 
     The bucket's largest component isn't held against itself: its members meet the blocks of the
@@ -255,10 +266,10 @@ def _rest(mixed: DataFrame, reps: DataFrame) -> DataFrame:
     column = F.transform(F.sequence(F.lit(0), other_blocks - 1), lambda i: F.struct(i.alias("i"), place.alias("j"), (F.col("is_other") & (i == own)).alias("line"), F.lit(True).alias("any")))
     line = F.when(F.col("is_other"), F.filter(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("line"), F.lit(False).alias("any"))), lambda x: x["j"] != place)).otherwise(F.array())
     cells = row.withColumn("_c", F.explode(F.concat(column, line))).select("bucket", "rep", "label", "_c.i", "_c.j", "_c.line", "_c.any")
-    return _compared(cells, reps, None)
+    return _compared(cells, reps, None, percent)
 
 
-def _compared(cells: DataFrame, reps: DataFrame, number: int | None) -> DataFrame:
+def _compared(cells: DataFrame, reps: DataFrame, number: int | None, percent: int) -> DataFrame:
     """Pairs of a cell's ``line`` members and its ``any`` members, of different components, whose
     sketches pass: all of them, or in round ``number`` one for each component."""
     placed = cells.join(reps.select("rep", "n", "filled", "odd"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
@@ -267,11 +278,11 @@ def _compared(cells: DataFrame, reps: DataFrame, number: int | None) -> DataFram
         rows, cols = np.flatnonzero(line), np.flatnonzero(other)
         out = []
         for x in np.array_split(rows, max(1, len(rows) * len(cols) >> 17)):
-            ok = (label[x][:, None] != label[cols]) & _sizes_fit(n[x][:, None], n[cols])
+            ok = (label[x][:, None] != label[cols]) & _sizes_fit(n[x][:, None], n[cols], percent)
             i, j = np.nonzero(ok)
             i, j = x[i], cols[j]
             d = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
-            good = d <= most_differing(n[i], n[j], filled[i], filled[j])
+            good = d <= most_differing(n[i], n[j], filled[i], filled[j], percent)
             i, j, d = i[good], j[good], d[good]
             if number is not None and len(i):
                 rank = d / (filled[i] + filled[j]) if number == 0 else mix((rep[i] ^ rep[j]).astype(np.uint64) + np.uint64(number))
@@ -315,8 +326,8 @@ def _compared(cells: DataFrame, reps: DataFrame, number: int | None) -> DataFram
     return placed.select(*names, "odd").mapInArrow(run, "a long, b long").distinct()
 
 
-def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of each row of ``docs``."""
+def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, n_shingles, component_id, kept)`` of each row of ``docs``; linked from ``percent`` on."""
     spark = docs.sparkSession
     root = shared_dir(spark)
 
@@ -325,7 +336,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         release(spark)
         return out
 
-    signed = keep(signatures(docs, id_col, text_col), "signatures")
+    signed = keep(signatures(docs, id_col, text_col, percent), "signatures")
     classes = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key")
     reps = keep(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("filled").alias("filled")), "classes")
     every = reps.select(F.explode("bands").alias("bucket"), "rep")
@@ -341,15 +352,15 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tried = links = labels = None
     for number in range(-1, ROUNDS + 1):
         if number < 0:
-            pairs = _hub_pairs(buckets, reps)
+            pairs = _hub_pairs(buckets, reps, percent)
         else:
             mixed = _mixed(buckets, labels)
-            pairs = _proposals(mixed, reps, number) if number < ROUNDS else _rest(mixed, reps)
+            pairs = _proposals(mixed, reps, number, percent) if number < ROUNDS else _rest(mixed, reps, percent)
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = keep(pairs, f"pairs{number}")
         if number >= 0 and not pairs.limit(1).count():
             continue
-        found = keep(confirmed(pairs, texts), f"links{number}")
+        found = keep(confirmed(pairs, texts, percent=percent), f"links{number}")
         tried = pairs if tried is None else tried.union(pairs)
         if number >= 0 and not found.limit(1).count():
             continue
@@ -364,7 +375,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), least).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each group: rows and columns as they are."""
-    gone = grouped(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__q_gone")).distinct()
+    gone = grouped(docs, id_col, text_col, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__q_gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__q_gone"), "left_anti")

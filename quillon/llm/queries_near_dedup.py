@@ -10,7 +10,7 @@ from quillon.llm.near_dedup import grouped
 
 
 def op7_odd_sketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped(table(spark, sf_dir, "documents"))
+    return grouped(table(spark, sf_dir, "documents"), percent=85)
 
 
 QUERIES = {"op7_odd_sketch_near_dedup": op7_odd_sketch_near_dedup}

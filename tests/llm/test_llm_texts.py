@@ -343,6 +343,27 @@ def test_sketches_pass_pairs_at_the_threshold():
             assert d <= near_dedup.most_differing(len(A), len(B), fx, fy), n
 
 
+def test_pipeline_links_from_four_fifths_on(spark):
+    import corpus_pipeline as p
+
+    r = random.Random(12)
+    rows, alike = [], []
+    for i in range(0, 60, 2):
+        w = [f"v{r.randrange(10**6)}" for _ in range(104)]
+        other = list(w)
+        for k in (20, 60) + ((90,) if i % 4 else ()):  # each edit changes five of 100 shingles
+            other[k] = f"e{i}x{k}"
+        a, b = " ".join(w), " ".join(other)
+        rows += [(i, a), (i + 1, b)]
+        alike.append(jaccard(shingle_set(a), shingle_set(b)))
+    assert sorted(set(alike)) == [85 / 115, 90 / 110]
+    df = docs(spark, rows)
+    kept = {x.doc_id for x in p.dedup_near_copies(spark, df, SF).collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or alike[i // 2] < 0.8}
+    assert near_dedup.kept_documents(df).count() == 60
+    assert near_dedup.banding(85) == (26, 6) and near_dedup.banding(80) == (31, 5)
+
+
 def test_near_dedup_odd_rows(spark):
     got = near_dedup.grouped(odd(spark)).collect()
     assert len(got) == 12
