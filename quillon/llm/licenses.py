@@ -6,8 +6,9 @@ of identifiers is then matched against ordered rules: a rule is a run of identif
 rules are the most specific, and what a rule matches is used up.  What no rule explains is
 reported too.
 
-Text is read in two ways, with line ends as sentence ends and with line ends as plain spaces
-(wrapped paragraphs); the one that knows more sentences counts, the first on a tie.
+A sentence ends at a stop before white space; between stops, any run of whole lines may be one, so
+titles without a stop and sentences wrapped over lines, with or without blank lines, are known
+side by side.  At each place the longest known run counts, in the order of the text.
 
 All in DataFrame functions, map only: the tables are a few hundred constants of this module, so
 nothing is shuffled and nothing is broadcast but the plan.  Texts without any trigger word (every
@@ -133,10 +134,31 @@ def rules() -> list[tuple[str, str]]:
     return [(k, f";{';'.join(ids)};") for k, ids in RULES] + [(k, f";named:{k};") for k in NAMES]
 
 
-def _sentences(text: Column) -> Column:
-    ended = F.regexp_replace(text, r"([.!?:;])[ \t\r]+", "$1\n")
-    cut = F.split(ended, "\n")
-    return F.transform(cut, lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
+def _identifiers(text: Column) -> Column:
+    """Identifiers of the known sentences of ``text``, in its order."""
+    known = known_sentences()
+    table = F.str_to_map(F.lit("\n".join(f"{s}\t{i}" for s, i in known.items())), F.lit("\n"), F.lit("\t"))  # constant: folded
+    # what no known sentence can be isn't looked up: another first word, more lines than words, more letters
+    first = f"^(?:{'|'.join(sorted({s.split(' ')[0] for s in known}))})(?: |$)"
+    most_lines, most_chars = max(len(s.split(" ")) for s in known), max(map(len, known))
+    none = F.array().cast("array<string>")
+
+    def runs(lines: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.rlike(F.get(lines, i), F.lit(first)))
+        begin = F.struct(F.lit(0).alias("next"), none.alias("ids"))
+        found = F.aggregate(begins, begin, lambda acc, i: F.when(i < acc["next"], acc).otherwise(let(longest(lines, i), lambda x: F.when(x.isNull(), acc).otherwise(F.struct(x["end"].alias("next"), F.array_append(acc["ids"], x["id"]).alias("ids"))))))
+        return F.when(F.size(lines) > 0, found["ids"]).otherwise(none)
+
+    def longest(lines: Column, i: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.size(lines) - i, F.lit(most_lines)))
+        told = F.transform(sizes, lambda k: let(F.array_join(F.slice(lines, i + 1, k), " "), lambda s: F.struct((i + k).alias("end"), F.when(F.length(s) <= most_chars, F.try_element_at(table, s)).alias("id"))))
+        return F.try_element_at(F.filter(told, lambda x: x["id"].isNotNull()), F.lit(-1))
+
+    def lines_of(part: Column) -> Column:
+        return F.filter(F.transform(F.split(part, "\n"), lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " ")))), lambda s: s != "")
+
+    parts = F.split(F.regexp_replace(F.translate(text, "\x01", " "), r"[.!?:;](?=[ \t\r\n])", "\x01"), "\x01")
+    return F.flatten(F.transform(parts, lambda p: let(lines_of(p), runs)))
 
 
 def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,19 +167,9 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``licenses`` are joined with commas in the order of the rules, each once a matching rule;
     empty where nothing is known.
     """
-    known = known_sentences()
-    table = F.str_to_map(F.lit("\n".join(f"{s}\t{i}" for s, i in known.items())), F.lit("\n"), F.lit("\t"))  # constant: folded
     text = F.coalesce(F.col(text_col), F.lit(""))
-
-    def ids(t: Column) -> Column:
-        return F.filter(F.transform(_sentences(t), lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
-
-    best = let(
-        F.struct(ids(text).alias("a"), ids(F.translate(text, "\n", " ")).alias("b")),
-        lambda v: F.when(F.size(v["b"]) > F.size(v["a"]), v["b"]).otherwise(v["a"]),
-    )
     triggered = let(F.lower(text), lambda t: reduce(or_, (F.contains(t, F.lit(x)) for x in TRIGGERS)))
-    found = F.when(triggered, best).otherwise(F.array().cast("array<string>"))
+    found = F.when(triggered, _identifiers(text)).otherwise(F.array().cast("array<string>"))
 
     rule_rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(run).alias("run")) for k, run in rules()])
     begin = F.struct(F.concat(F.lit(";"), F.array_join("found", ";"), F.lit(";")).alias("left"), F.array().cast("array<string>").alias("got"))

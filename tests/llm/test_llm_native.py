@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 from collections import Counter
 
 import pytest
@@ -43,6 +44,17 @@ def test_license_rules(spark):
     assert scan(spark, "The licence of poets is unlimited.").n_known == 0
 
 
+def test_titles_and_wrapped_sentences_side_by_side(spark):
+    s = licenses.SENTENCES
+    wrap = lambda t: textwrap.fill(t, 70)
+    paragraphs = [s["mit-grant"][0] + ":", s["mit-notice"][0] + ".", s["mit-as-is"][0] + ". " + s["mit-liable"][0] + "."]
+    for gap in ("\n\n", "\n", "\r\n\r\n"):
+        got = scan(spark, gap.join(["MIT License", "Copyright (c) 2020 Some One", *map(wrap, paragraphs)]))
+        assert (got.licenses, got.sentence_ids, got.unexplained) == ("MIT", "mit-grant;mit-notice;mit-as-is;mit-liable", "")
+    got = scan(spark, "Some title\nReleased under the MIT License\nMore\nThis is free and unencumbered software\nreleased into the public domain.\nAll rights reserved")
+    assert (got.sentence_ids, got.licenses) == ("named:MIT;public-domain;all-rights", "Unlicense,MIT")
+
+
 def test_every_known_sentence_has_a_trigger():
     for group in licenses.SENTENCES.values():
         for s in group:
