@@ -168,7 +168,9 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty where nothing is known.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    triggered = let(F.lower(text), lambda t: reduce(or_, (F.contains(t, F.lit(x)) for x in TRIGGERS)))
+    # blanks of a trigger may be anything that normalises to one, line ends too
+    spaced = "|".join(x.replace(" ", "[^a-z0-9]+") for x in TRIGGERS if " " in x)
+    triggered = let(F.lower(text), lambda t: reduce(or_, (F.contains(t, F.lit(x)) for x in TRIGGERS if " " not in x)) | F.rlike(t, F.lit(spaced)))
     found = F.when(triggered, _identifiers(text)).otherwise(F.array().cast("array<string>"))
 
     rule_rows = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(run).alias("run")) for k, run in rules()])

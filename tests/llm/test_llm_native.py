@@ -68,6 +68,12 @@ def test_every_known_sentence_has_a_trigger():
                     pytest.fail(f"{lead} {n}")
 
 
+def test_triggers_wrap_too(spark):
+    assert scan(spark, "This is free and unencumbered software released into the public\ndomain.").licenses == "Unlicense"
+    assert scan(spark, "All rights  reserved.").sentence_ids == "all-rights"
+    assert scan(spark, "Released under CC\r\nBY 4.0.").licenses == "CC-BY-4.0"
+
+
 def test_license_odd_rows(spark):
     got = licenses.scanned(odd(spark)).collect()
     assert len(got) == 12 and all(r.n_known == 0 and r.licenses == "" for r in got)
