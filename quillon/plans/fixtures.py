@@ -25,6 +25,11 @@ def queries_below(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return corpus(spark, sf_dir).where(F.col("id") < n).select(F.col("id").alias("q_id"), F.col("vec").alias("q"))
 
 
+def queries_every(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The query set that grows with the table: the vectors whose ids ``n`` divides."""
+    return corpus(spark, sf_dir).where(F.col("id") % n == 0).select(F.col("id").alias("q_id"), F.col("vec").alias("q"))
+
+
 def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mutation log of the events: an error deletes the user's vector, anything else writes one."""
     vectors = corpus(spark, sf_dir)

@@ -203,7 +203,7 @@ def _graph(spark, sf_dir, shards=4):
 
 @_query()
 def hnsw_search(spark, sf_dir):
-    return _told(hnsw.search(_graph(spark, sf_dir), fx.queries_below(spark, sf_dir, Q), K, "cosine", _PARAMS))
+    return _told(hnsw.search(_graph(spark, sf_dir), fx.queries_every(spark, sf_dir, 50), K, "cosine", _PARAMS))
 
 
 @_query(f"SELECT CAST(least({Q}, count(*)) * {K} AS BIGINT) AS expected, true AS recall_ok FROM embeddings")

@@ -143,3 +143,15 @@ def test_random_projections(spark):
 def test_vector_literals(spark):
     df = spark.createDataFrame([("1, 2.5 ,3",), ("x,1",), ("",), (None,)], "s string")
     assert [r[0] for r in df.select(parse_vector(F.col("s"))).collect()] == [[1.0, 2.5, 3.0], None, None, None]
+
+
+def test_search_query_set_grows_with_the_table(spark):
+    from quillon.operators import knn
+    from quillon.plans import fixtures, registry
+
+    sf = "/root/testdata/sf0.001"
+    found = registry.queries()["hnsw_search"](spark, sf).cache()
+    corpus = fixtures.corpus(spark, sf)
+    assert {r.q_id for r in found.collect()} == {r.id for r in corpus.collect() if r.id % 50 == 0}
+    exact = {(r.q_id, r.id) for r in knn.knn(corpus, fixtures.queries_every(spark, sf, 50), 10, "cosine").collect()}
+    assert len(exact & {(r.q_id, r.vec_id) for r in found.collect()}) >= 0.95 * len(exact)
