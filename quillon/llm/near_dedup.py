@@ -6,14 +6,19 @@
    precisely where similarity is high.  Texts with the same shingle set become one class,
    represented by its smallest id, before anything else.
 2. Hubs: in each band bucket every member is held against the bucket's least and greatest member
-   by odd sketch; of what passes, a member keeps its smallest and its most alike hub.  That is
-   linear in the members, however large a bucket is, and joins most groups together.
-3. Rounds: in buckets that still hold different components, each component proposes one pair with
-   another component, the most alike by odd sketch, then arbitrary ones that pass.  Each round is
-   linear too, and each joins what the rounds before have left apart.
-4. The rest: what passes the odd sketch between different components of a bucket and hasn't been
-   tried yet.  So no link is lost, and no pairs within a joined group are ever made.
-5. Every pair is confirmed on the full shingle sets, from the texts.
+   by odd sketch; of what passes, a member keeps its smallest and its most alike hub, and these
+   pairs are confirmed on the full shingle sets, from the texts.  That is linear in the members,
+   however large a bucket is, and joins most groups together.
+3. Cells: buckets that still hold several components are cut into cells of bounded size.  First
+   sketches alone go to the cells, and only the members that pass with one of another component
+   are told, a row each.
+4. Those meet again in their cells with their full sets, where pairs of different components are
+   confirmed and joined at once.  A cell returns links that span what it joined: fewer than it
+   has components, however many pairs it has held against each other.
+
+A pair is looked at in the first bucket that both share.  All pairs of a bucket are, but those of
+one component and those of a bucket's largest component, so no link is lost.  ``BLOCK`` and
+``BLOCK_SHINGLES`` bound a cell's memory and regroup work; results are the same at any setting.
 
 Bands are chosen by the threshold (26 of 6 samples at 0.85, 31 of 5 at 0.8): they miss a pair at the
 threshold with probability 5e-6, and more similar ones
@@ -33,7 +38,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks
@@ -50,10 +55,8 @@ MISS = 6e-6
 BINS, ODD_BITS = 2048, 2048
 #: Standard errors below the threshold from which a sketch dismisses a pair.
 ERRORS = 4.5
-#: Rounds of proposals before everything that is left is tried.
-ROUNDS = 3
-#: Members of a large bucket that are held against each other at once.
-BLOCK = 1024
+#: Members of a large bucket, and shingles of its members, on either side of a cell.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 21
 #: Partners of a hub that one group confirms.
 HUB_PARTNERS = 256
 
@@ -235,95 +238,181 @@ def _hub_pairs(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return kept.select(F.least("member", "hub").alias("a"), F.greatest("member", "hub").alias("b")).distinct()
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets with several components, with ``label`` and the bucket's ``size``."""
+def _mixed(buckets: DataFrame, reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of buckets with several components, with their ``label``."""
     named = labels.withColumnRenamed("id", "_i")
     held = buckets.join(named, buckets["rep"] == named["_i"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
-    mixed = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("bucket", "size")
-    return held.join(mixed, "bucket")
+    mixed = held.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+    return held.join(mixed, "bucket").join(reps.select("rep", "n"), "rep")
 
 
-def _proposals(mixed: DataFrame, reps: DataFrame, number: int, percent: int) -> DataFrame:
-    """Step 3's pairs of one round: one a component and bucket, or block of a large bucket."""
-    block = F.pmod(F.xxhash64("rep", F.lit(number)), F.ceil(F.col("size") / BLOCK)).cast("int")
-    return _compared(mixed.select("bucket", "rep", "label", block.alias("i"), F.lit(0).alias("j"), F.lit(True).alias("line"), F.lit(True).alias("any")), reps, number, percent)
+def _cells(mixed: DataFrame) -> DataFrame:
+    """``(bucket, i, j, rep, label, other, line, any)``: the cells of each bucket.
 
+    The bucket's largest component isn't held against itself: the members of the others meet
+    the blocks of all, so the work is the others' number times the bucket's, not the bucket's squared.
+    """
+    sizes = mixed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+    top = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label", "s")).alias("x"), F.sum("c").alias("c"), F.sum("s").alias("s"))
 
-def _rest(mixed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Step 4's pairs.
+    def blocks(members: Column, shingles: Column) -> Column:
+        return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
 
-    The bucket's largest component isn't held against itself: its members meet the blocks of the
-    others only, so the work is the others' number times the bucket's, not the bucket's squared.
-    """
-    sizes = mixed.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("all")).select("bucket", F.col("x.label").alias("top"), (F.col("all") - F.col("x.n")).alias("others"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    other_blocks = F.ceil(F.col("others") / BLOCK).cast("int")
-    row = mixed.join(top, "bucket").withColumn("is_other", F.col("label") != F.col("top"))
+    top = top.select("bucket", F.col("x.label").alias("top"), blocks(F.col("c"), F.col("s")).alias("_all"), blocks(F.col("c") - F.col("x.c"), F.col("s") - F.col("x.s")).alias("_others"))
+    row = mixed.join(top, "bucket").withColumn("other", F.col("label") != F.col("top"))
     # a cell is (block of others, block of all): a row sits in its own column, an other also in its own line
-    own = F.pmod(F.xxhash64("rep"), other_blocks).cast("int")
-    place = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    column = F.transform(F.sequence(F.lit(0), other_blocks - 1), lambda i: F.struct(i.alias("i"), place.alias("j"), (F.col("is_other") & (i == own)).alias("line"), F.lit(True).alias("any")))
-    line = F.when(F.col("is_other"), F.filter(F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("line"), F.lit(False).alias("any"))), lambda x: x["j"] != place)).otherwise(F.array())
-    cells = row.withColumn("_c", F.explode(F.concat(column, line))).select("bucket", "rep", "label", "_c.i", "_c.j", "_c.line", "_c.any")
-    return _compared(cells, reps, None, percent)
-
-
-def _compared(cells: DataFrame, reps: DataFrame, number: int | None, percent: int) -> DataFrame:
-    """Pairs of a cell's ``line`` members and its ``any`` members, of different components, whose
-    sketches pass: all of them, or in round ``number`` one for each component."""
-    placed = cells.join(reps.select("rep", "n", "filled", "odd"), "rep").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-
-    def cell(rep, label, n, filled, odd, line, other):
-        rows, cols = np.flatnonzero(line), np.flatnonzero(other)
-        out = []
-        for x in np.array_split(rows, max(1, len(rows) * len(cols) >> 17)):
-            ok = (label[x][:, None] != label[cols]) & _sizes_fit(n[x][:, None], n[cols], percent)
-            i, j = np.nonzero(ok)
-            i, j = x[i], cols[j]
-            d = np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64)
-            good = d <= most_differing(n[i], n[j], filled[i], filled[j], percent)
-            i, j, d = i[good], j[good], d[good]
-            if number is not None and len(i):
-                rank = d / (filled[i] + filled[j]) if number == 0 else mix((rep[i] ^ rep[j]).astype(np.uint64) + np.uint64(number))
-                order = np.lexsort((rank, label[i]))
-                i, j = i[order], j[order]
-                best = np.concatenate([[True], label[i][1:] != label[i][:-1]])
-                i, j = i[best], j[best]
-            out.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])]))
-        return np.concatenate(out, axis=1)
-
-    names = ("bucket", "i", "j", "rep", "label", "n", "filled", "line", "any")
+    own = F.pmod(F.xxhash64("rep"), F.col("_others")).cast("int")
+    place = F.pmod(F.xxhash64("rep"), F.col("_all")).cast("int")
+    column = F.transform(F.sequence(F.lit(0), F.col("_others") - 1), lambda i: F.struct(i.alias("i"), place.alias("j"), (F.col("other") & (i == own)).alias("line"), F.lit(True).alias("any")))
+    line = F.when(F.col("other"), F.filter(F.transform(F.sequence(F.lit(0), F.col("_all") - 1), lambda j: F.struct(own.alias("i"), j.alias("j"), F.lit(True).alias("line"), F.lit(False).alias("any"))), lambda x: x["j"] != place)).otherwise(F.array())
+    return row.withColumn("_c", F.explode(F.concat(column, line))).select("bucket", "rep", "label", "other", "_c.i", "_c.j", "_c.line", "_c.any")
+
+
+class _Cell:
+    """Members of a cell, as arrays in the order of their ids."""
+
+    def __init__(self, bucket: int, rep, label, n, filled, other, line, column, odd, bands, percent: int):
+        self.bucket, self.rep, self.n, self.filled, self.odd, self.bands, self.percent = bucket, rep, n, filled, odd, bands, percent
+        self.other, self.lines, self.columns = other > 0, np.flatnonzero(line), np.flatnonzero(column)
+        self.labels, self.part = np.unique(label, return_inverse=True)
+
+    def partners(self, i: int) -> np.ndarray:
+        """Members to be held against ``i`` here: of another component, alike enough by size and sketch, and this
+        bucket being the first that both share.  Of two that are in lines, the first finds the second."""
+        j = self.columns
+        j = j[(self.part[j] != self.part[i]) & (~self.other[j] | (j > i)) & _sizes_fit(self.n[i], self.n[j], self.percent)]
+        if len(j):
+            d = np.bitwise_count(self.odd[i] ^ self.odd[j]).sum(axis=1, dtype=np.int64)
+            j = j[d <= most_differing(self.n[i], self.n[j], self.filled[i], self.filled[j], self.percent)]
+        if len(j):
+            j = j[self.bands[i, (self.bands[i] == self.bands[j]).argmax(axis=1)] == self.bucket]
+        return j
+
+    def suspects(self) -> np.ndarray:
+        """Members with partners."""
+        found = np.zeros(len(self.rep), bool)
+        for i in self.lines:
+            j = self.partners(i)
+            if len(j):
+                found[i] = True
+                found[j] = True
+        return np.flatnonzero(found)
+
+    def joined(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Confirms partners on their sets, joins their components, and returns links that span what is joined."""
+        _, names, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        ends = np.cumsum([len(x) for x in sets])
+        own = [x[times[x] > 1] for x in np.split(names, ends[:-1])]  # what no other has can't be shared
+        marked = np.zeros(len(times), bool)
+        links = []
+        for i in self.lines:
+            j = self.partners(i)
+            if not len(j):
+                continue
+            marked[own[i]] = True
+            begins = np.concatenate([[0], np.cumsum([len(own[x]) for x in j])])
+            hits = np.concatenate([[0], np.cumsum(marked[np.concatenate([own[x] for x in j])])])
+            both = hits[begins[1:]] - hits[begins[:-1]]
+            marked[own[i]] = False
+            j = j[(both > 0) & (100 * both >= self.percent * (self.n[i] + self.n[j] - both))]
+            for p in np.unique(self.part[j]).tolist():
+                mine = self.part[i]
+                if p != mine:
+                    a, b = min(p, mine), max(p, mine)
+                    links.append((int(self.labels[a]), int(self.labels[b])))
+                    self.part[self.part == b] = a
+        return links
+
+
+_MEMBER = ("bucket", "i", "j", "rep", "label", "n", "filled", "other", "line", "any")
+_SKETCHES = ("odd", "bands")
+
+
+def _by_cell(rows: DataFrame, found, schema: str, percent: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """What ``found(cell, columns more)`` yields of each cell, in rows of ``schema``.  A cell's rows may come in several batches."""
+    placed = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+
+    def told(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        bucket, _, _, *rest = _columns(table, _MEMBER)
+        label = rest[1]
+        if len(label) > 1 and (label != label[0]).any():
+            cell = _Cell(int(bucket[0]), *rest, _words(table.column("odd")), _words(table.column("bands")).view(np.int64), percent)
+            yield from found(cell, *[table.column(c) for c in more])
 
     def run(batches):
-        held = None  # the rows of the last cell, which may go on
+        held: list[pa.RecordBatch] = []  # of the last cell, which may go on
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = [*_columns(batch, names), _words(batch.column("odd"))]
-            if held is not None:
-                part = [np.concatenate([x, y]) for x, y in zip(held, part, strict=True)]
-            key = part[:3]
-            new = np.flatnonzero((key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1])) + 1
-            cuts = [0, *new.tolist()]
-            yield from told(part, cuts[:-1], cuts[1:])
-            held = [x[cuts[-1] :] for x in part]
-        if held is not None:
-            yield from told(held, [0], [len(held[0])])
-
-    def told(part, begins, ends):
-        found = []
-        for b, e in zip(begins, ends, strict=True):
-            if e - b > 1:
-                rep, label, n, filled, line, other, odd = (x[b:e] for x in part[3:])
-                if (label != label[0]).any():
-                    found.append(cell(rep, label, n, filled, odd, line > 0, other > 0))
-        if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            pairs = pairs[:, pairs[0] != pairs[1]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    return placed.select(*names, "odd").mapInArrow(run, "a long, b long").distinct()
+            key = np.stack(_columns(batch, _MEMBER[:3]), axis=1)
+            new = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            cuts = [0, *new.tolist(), batch.num_rows]
+            if last is not None and last != tuple(key[0]):
+                yield from told(held)
+                held = []
+            for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                if n:
+                    yield from told(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+            last = tuple(key[-1])
+        if held:
+            yield from told(held)
+
+    return placed.select(*_MEMBER, *_SKETCHES, *more).mapInArrow(run, schema)
+
+
+def _suspects(cells: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The members of cells whose sketches pass with one of another component: no more rows than ``cells`` has."""
+
+    def rows(cell):
+        at = cell.suspects()
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), cell.bucket)), pa.array(cell.rep[at])], names=["bucket", "rep"])
+
+    sketched = cells.join(reps.select("rep", "n", "filled", *_SKETCHES), "rep")
+    named = _by_cell(sketched, rows, "bucket long, rep long", percent).distinct().withColumnsRenamed({"bucket": "_b", "rep": "_r"})
+    return cells.join(named, (F.col("bucket") == F.col("_b")) & (F.col("rep") == F.col("_r")), "left_semi")
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``(id, key, hashes)``: the full shingle set of each text, as bytes, and its key."""
+
+    def run(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = [shingle_hashes(raw).tobytes() for raw in part.column("text").cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "key", "hashes"])
+
+    return texts.mapInArrow(run, "id long, key binary, hashes binary")
+
+
+def _spanning(cells: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Step 4's links (``a``, ``b``) between labels."""
+
+    def rows(cell, hashes):
+        links = cell.joined([np.frombuffer(x, np.uint64) for x in hashes.to_pylist()])
+        if links:
+            a, b = zip(*links, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    wanted = cells.select(F.col("rep").alias("_w")).distinct()
+    sets = _sets(texts.join(wanted, F.col("doc_id") == F.col("_w"), "left_semi").select(F.col("doc_id").alias("id"), "text"))
+    # an id may have several texts, and several rows of one
+    sets = sets.groupBy("id", "key").agg(F.first("hashes").alias("hashes"))
+    held = cells.join(reps.select("rep", "set_key", "n", "filled", *_SKETCHES), "rep").join(sets, (F.col("rep") == F.col("id")) & (F.col("set_key") == F.col("key")))
+    return _by_cell(held, rows, "a long, b long", percent, ("hashes",))
+
+
+def _ties(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (``a``, ``b``) between the classes of the texts of one id."""
+    named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
+    several = named.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo < hi").select("doc_id")
+    theirs = named.join(several, "doc_id", "left_semi").join(reps.select("set_key", "rep"), "set_key").select("doc_id", "rep")
+    least = theirs.groupBy("doc_id").agg(F.min("rep").alias("least"))
+    return theirs.join(least, "doc_id").select(F.col("rep").alias("a"), F.col("least").alias("b")).where("a <> b")
 
 
 def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -342,37 +431,29 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     every = reps.select(F.explode("bands").alias("bucket"), "rep")
     shared = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("bucket")
     buckets = keep(every.join(shared, "bucket"), "buckets")
-    reps = reps.drop("bands")
     # texts that may have to be compared, once out of all
     wanted = buckets.select(F.col("rep").alias("_rep")).distinct()
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # shuffled at any size: how the ids are few or many must not change what a run needs
     texts = keep(plain.hint("merge").join(wanted, F.col("doc_id") == F.col("_rep"), "left_semi"), "texts")
 
-    tried = links = labels = None
-    for number in range(-1, ROUNDS + 1):
-        if number < 0:
-            pairs = _hub_pairs(buckets, reps, percent)
-        else:
-            mixed = _mixed(buckets, labels)
-            pairs = _proposals(mixed, reps, number, percent) if number < ROUNDS else _rest(mixed, reps, percent)
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = keep(pairs, f"pairs{number}")
-        if number >= 0 and not pairs.limit(1).count():
-            continue
-        found = keep(confirmed(pairs, texts, percent=percent), f"links{number}")
-        tried = pairs if tried is None else tried.union(pairs)
-        if number >= 0 and not found.limit(1).count():
-            continue
-        links = found if links is None else links.union(found)
-        labels = components(links, root, f"labels{number}")
-        release(spark)
-    # an id with several texts ties their classes together
-    label_of = labels.withColumnRenamed("id", "_i")
-    found = signed.join(reps.select("set_key", "rep"), "set_key", "left").join(label_of, F.col("rep") == F.col("_i"), "left")
-    component = F.coalesce("label", "rep", "doc_id")
-    least = F.min(component).over(Window.partitionBy("doc_id"))
-    return found.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), least).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    pairs = keep(_hub_pairs(buckets, reps, percent), "pairs")
+    links = confirmed(pairs, texts, percent=percent).union(_ties(signed, reps))
+    labels = components(links, root, "labels")
+    release(spark)
+    cells = keep(_cells(_mixed(buckets, reps, labels)), "cells")
+    suspects = keep(_suspects(cells, reps, percent), "suspects")
+    joined = components(_spanning(suspects, reps, texts, percent), root, "joined")
+    release(spark)
+
+    label_of, last_of = labels.select(F.col("id").alias("_i"), "label"), joined.select(F.col("id").alias("_j"), F.col("label").alias("last"))
+    found = signed.where("doc_id IS NOT NULL").join(reps.select("set_key", "rep"), "set_key", "left").join(label_of, F.col("rep") == F.col("_i"), "left")
+    found = found.withColumn("own", F.coalesce("label", "rep")).join(last_of, F.col("own") == F.col("_j"), "left")
+    # an id with a text without words is the document of its other texts
+    least = F.min(F.coalesce("last", "own", "doc_id")).over(Window.partitionBy("doc_id"))
+    out = found.select("doc_id", "n_shingles", least.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    nameless = signed.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.union(nameless)
 
 
 def kept_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
