@@ -33,18 +33,23 @@ l AS (
   FROM s),
 f AS (SELECT *, cap <= level * weight AS is_full FROM l),
 t AS (
-  SELECT source, source_size,
+  SELECT source, place, source_size,
          CASE WHEN is_full THEN cap
               ELSE weight * (SELECT arg_min(level, cap / weight * 1e6 + place) FROM f WHERE NOT is_full) END AS target
   FROM f),
 c AS (
-  SELECT doc_id, source, size,
+  SELECT row_number() OVER () AS row_id, doc_id, source, size,
          sum(size) OVER (PARTITION BY source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS begin_at
-  FROM d)
-SELECT c.doc_id, c.size, t.source_size, t.target,
-       CAST(greatest(0, least(c.size, round(t.target) - c.begin_at))
-          + greatest(0, least(c.size, round(t.target) - c.begin_at - t.source_size))
-          + greatest(0, least(c.size, round(t.target) - c.begin_at - 2 * t.source_size)) AS BIGINT) AS taken
-FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
+  FROM d),
+q AS (
+  SELECT row_id, place, target, least(64, size - 64 * k) AS words, begin_at + turn * source_size + 64 * k AS begin_at
+  FROM (SELECT c.*, t.place, t.target, t.source_size, turn, unnest(range(0, (size + 63) // 64)) AS k
+        FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source, range(0, 3) AS e(turn) WHERE size > 0 AND t.target > 0)),
+o AS (
+  SELECT row_id, words, sum(words) OVER (ORDER BY (begin_at + words) / target, place ROWS UNBOUNDED PRECEDING) AS reached FROM q),
+g AS (
+  SELECT row_id, sum(greatest(0, least(words, (SELECT sum(size) FROM d) - (reached - words)))) AS taken FROM o GROUP BY row_id)
+SELECT c.doc_id, c.size, t.source_size, t.target, CAST(coalesce(g.taken, 0) AS BIGINT) AS taken
+FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source LEFT JOIN g USING (row_id)
 """
 }
