@@ -21,13 +21,14 @@ SQL = {
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, text, coalesce(string_split(text, chr(10)), []) AS lines FROM documents),
 l AS (SELECT row_id, doc_id, generate_subscripts(lines, 1) AS n, unnest(lines) AS line FROM d),
 h AS (
-  SELECT *, substr(md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)), 1, 1) AS digit,
-         n = max(n) OVER (PARTITION BY row_id) AS is_last
+  SELECT *, md5(coalesce(lag(md5(line)) OVER w, '') || md5(line)) AS rolling, max(n) OVER (PARTITION BY row_id) AS last_n
   FROM l WINDOW w AS (PARTITION BY row_id ORDER BY n)),
+e AS (
+  SELECT *, n = last_n OR (n >= 2 AND n <= last_n - 2 AND rolling < lag(rolling) OVER w AND rolling <= lead(rolling) OVER w) AS is_end
+  FROM h WINDOW w AS (PARTITION BY row_id ORDER BY n)),
 c AS (
-  SELECT *, coalesce(sum((digit IN ('0', '1', '2', '3', '4') OR is_last)::INT)
-         OVER (PARTITION BY row_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
-  FROM h),
+  SELECT *, coalesce(sum(is_end::INT) OVER (PARTITION BY row_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM e),
 k AS (
   SELECT row_id, doc_id, chunk, count(*) AS size, string_agg(line, chr(10) ORDER BY n) AS bytes FROM c GROUP BY ALL),
 o AS (
