@@ -3,8 +3,8 @@
 *Tokens.*  A token is a maximal run of word characters, in lower case.  Its features are the
 token itself and its beginnings of ``STEMS`` characters.  Over a bounded sample of labelled
 documents, each feature's log-odds of standing in a toxic against a clean document is taken with
-a Dirichlet prior centred on the feature's overall rate; a token scores the log-odds of its most
-significant feature, and a small negative score where no feature is significant.
+a Dirichlet prior centred on the feature's overall rate; a token scores the greatest log-odds of
+its significant features, and a small negative score where no feature is significant.
 
 *Segments.*  All maximal scoring segments of a text are found in one linear scan (disjoint
 stretches whose score can't be raised by growing or shrinking): these are its toxic passages.
@@ -12,16 +12,19 @@ stretches whose score can't be raised by growing or shrinking): these are its to
 *Calibration.*  Under clean text, the best segment score of n tokens follows an extreme-value
 law with tail K n exp(-lambda s); lambda follows from the token scores of clean sample documents,
 K from their best segments.  A document's evidence is the sum, over its segments, of what their
-scores exceed the expected extreme by, in units of lambda; a logistic curve fitted on sample
-documents that had no part in the log-odds turns evidence into a probability.
+scores exceed the expected extreme by, in units of lambda; a logistic curve turns evidence into a
+probability.  Law and curve are fitted on all sample documents, each scored by the log-odds of
+the ``FOLDS`` - 1 folds it isn't in; the model itself has the log-odds of all.
 
-Only the sample's size is bounded: every document is scored whole.  The model is ``FEATURES``
-numbers at most, so broadcasting it is bounded.
+Only the sample's size is bounded: every document is scored whole.  The model has the significant
+features of the sample, so what is broadcast is bounded by the sample too; of each sample
+document the driver gets a few numbers.
 
 Defined results: null and empty texts have no evidence and get the curve's value at 0; without
 labels of both kinds every document gets the share of toxic labels (0 without labels); several
 labels of a document count as toxic if one is; repeated rows are scored again; ids and all other
-columns never enter a score; an empty table gives an empty result.
+columns never enter a score, and columns of any name pass by; very long texts are scanned whole;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ import math
 import re
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +45,8 @@ from quillon.llm.bpe import chunks
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_DOCS = 12_000
-#: Features a model keeps, the most significant ones.
-FEATURES = 40_000
+#: Folds of the sample.
+FOLDS = 3
 #: Lengths of the beginnings that are features of a token.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Documents a feature must stand in.
@@ -50,7 +55,7 @@ MIN_DOCS = 3
 PRIOR_SHARE, SCORE_PRIOR_SHARE = 0.2, 0.02
 #: Standard errors from which a log-odds counts, and size from which a positive one does: what is merely
 #: more frequent in toxic text, such as a common stem, isn't toxic.
-SIGNIFICANT, STRONG = 3.0, 2.0
+SIGNIFICANT, STRONG = 2.5, 2.0
 #: Score of a token without a significant feature, and bounds of the others.
 NEUTRAL, LEAST, MOST = -0.25, -1.0, 6.0
 #: Bounds and step of the score histogram.
@@ -99,7 +104,7 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 class Model:
     """Feature log-odds, the extreme-value law of clean text, and the curve."""
 
-    odds: dict[str, tuple[float, float]] = field(default_factory=dict)  # feature: score, significance
+    odds: dict[str, float] = field(default_factory=dict)  # a feature's score
     rate: float = 1.0  # lambda
     size: float = 1.0  # K
     bias: float = -30.0
@@ -107,12 +112,8 @@ class Model:
     memo: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def token_score(self, token: str) -> float:
-        best, weight = NEUTRAL, 0.0
-        for f in features_of(token):
-            got = self.odds.get(f)
-            if got and got[1] > weight:
-                best, weight = got
-        return best
+        found = [self.odds[f] for f in features_of(token) if f in self.odds]
+        return max(found, default=NEUTRAL)
 
     def scores(self, tokens: list[str]) -> np.ndarray:
         memo = self.memo
@@ -208,10 +209,10 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def sample_of(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
     """``(text, toxic, part)`` of at most ``limit`` labelled documents, those whose ids have the least
-    digests; ``part`` 0 is for the curve, 1 and 2 for the log-odds."""
+    digests; ``part`` is the fold."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
     digest = F.md5(F.col("doc_id").cast("string"))
-    ids = known.orderBy(digest, "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), "_toxic", (F.conv(F.substring(digest, 25, 8), 16, 10).cast("long") % 3).cast("int").alias("_part"))
+    ids = known.orderBy(digest, "doc_id").limit(limit).select(F.col("doc_id").alias("_id"), "_toxic", (F.conv(F.substring(digest, 25, 8), 16, 10).cast("long") % FOLDS).cast("int").alias("_part"))
     # at most ``limit`` rows of 16 bytes
     return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", F.col("_toxic").alias("toxic"), F.col("_part").alias("part"))
 
@@ -225,80 +226,96 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
         sample.unpersist()
 
 
-def _fit(sample: DataFrame) -> Model:
-    sizes = {(r[0] > 0, r[1] > 0): r[2] for r in sample.groupBy("toxic", F.when(F.col("part") > 0, 1).otherwise(0).alias("p")).count().collect()}
-    n_toxic, n_clean = sizes.get((True, True), 0), sizes.get((False, True), 0)
-    every = sum(sizes.values())
+def odds_of(counts: list[tuple[str, list[int], list[int]]], toxic: list[int], clean: list[int], but: int = -1) -> dict[str, float]:
+    """Scores of the significant features, given in how many toxic and clean documents of each fold they stand;
+    the fold ``but`` is left out."""
+    folds = [k for k in range(len(toxic)) if k != but]
+    n_toxic, n_clean = sum(toxic[k] for k in folds), sum(clean[k] for k in folds)
+    out: dict[str, float] = {}
     if not n_toxic or not n_clean:
-        share = sum(v for (t, _), v in sizes.items() if t) / every if every else 0.0
-        return Model(bias=math.log(share / (1 - share)) if 0 < share < 1 else (30.0 if share else -30.0))
-
-    def counted(batches):
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                found = (Counter(), Counter())
-                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                    found[toxic > 0].update({f for t in set(tokens_of(text)) for f in features_of(t)})
-                names = list(found[0].keys() | found[1].keys())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([found[1][f] for f in names], pa.int64()), pa.array([found[0][f] for f in names], pa.int64())], names=["f", "t", "c"])
-
-    counts = sample.where("part > 0").select("text", "toxic").mapInArrow(counted, "f string, t long, c long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where(F.col("t") + F.col("c") >= MIN_DOCS)
-    n = float(n_toxic + n_clean)
-    prior = PRIOR_SHARE * n
-    a = F.col("t") + prior * (F.col("t") + F.col("c")) / n
-    b = F.col("c") + prior * (F.col("t") + F.col("c")) / n
-    odds = F.log(a / (n_toxic + prior - a)) - F.log(b / (n_clean + prior - b))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    best = counts.withColumn("z", z).where(F.abs("z") >= SIGNIFICANT).orderBy(F.abs("z").desc(), "f").limit(FEATURES).collect()
-    model = Model()
-    for r in best:
-        o, _ = log_odds(r["t"], r["c"], n_toxic, n_clean, SCORE_PRIOR_SHARE)
-        s = r["z"]
-        if 0 < o < STRONG:
+        return out
+    for feature, t, c in counts:
+        a, b = sum(t[k] for k in folds), sum(c[k] for k in folds)
+        if a + b < MIN_DOCS or abs(log_odds(a, b, n_toxic, n_clean)[1]) < SIGNIFICANT:
             continue
-        # a feature of clean text must not undo a passage: its score stays near the neutral one
-        model.odds[r["f"]] = (min(MOST, o) if o > 0 else max(LEAST, NEUTRAL + 0.1 * o), abs(s))
+        o, _ = log_odds(a, b, n_toxic, n_clean, SCORE_PRIOR_SHARE)
+        if not 0 < o < STRONG:
+            # a feature of clean text must not undo a passage: its score stays near the neutral one
+            out[feature] = min(MOST, o) if o > 0 else max(LEAST, NEUTRAL + 0.1 * o)
+    return out
+
 
-    def measured(batches):
+def _per_document(sample: DataFrame, models: list[Model], schema: str, row) -> list:
+    """``row(toxic, tokens, scores)`` of each sample document, scored by its fold's model; a few numbers each."""
+
+    def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                rows, seen = [], Counter()
+                rows = []
                 for text, toxic, which in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "part")), strict=True):
                     tokens = tokens_of(text)
-                    scores = model.scores(tokens)
-                    rows.append((toxic > 0, which, len(tokens), [s for _, _, s in segments(scores)]))
-                    if toxic <= 0 and which == 0:
-                        values, times = np.unique(np.round(scores / STEP).astype(np.int64), return_counts=True)
-                        seen.update(dict(zip(values.tolist(), times.tolist(), strict=True)))
-                columns = [list(x) for x in zip(*rows, strict=True)]
-                hist = [list(seen.items()), *[[]] * (len(rows) - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(columns[0], pa.bool_()),
-                        pa.array(columns[1], pa.int32()),
-                        pa.array(columns[2], pa.int64()),
-                        pa.array(columns[3], pa.list_(pa.float64())),
-                        pa.array([[x[0] for x in h] for h in hist], pa.list_(pa.int64())),
-                        pa.array([[x[1] for x in h] for h in hist], pa.list_(pa.int64())),
-                    ],
-                    names=["toxic", "part", "n", "segments", "score", "times"],
-                )
-
-    held = sample.where("part = 0").select("text", "toxic", "part").mapInArrow(measured, "toxic boolean, part int, n long, segments array<double>, score array<long>, times array<long>").collect()  # a third of the sample
+                    rows.append((toxic > 0, *row(len(tokens), models[which].scores(tokens))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
+    return sample.select("text", "toxic", "part").mapInArrow(run, schema).collect()
+
+
+def _fit(sample: DataFrame) -> Model:
+    sizes = {(r[0], r[1]): r[2] for r in sample.groupBy(F.col("toxic") > 0, "part").count().collect()}
+    toxic, clean = ([sizes.get((kind, k), 0) for k in range(FOLDS)] for kind in (True, False))
+    n_toxic, n_clean = sum(toxic), sum(clean)
+    if not n_toxic or not n_clean:
+        return Model(bias=30.0 if n_toxic else -30.0)
+
+    def counted(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                found = [Counter() for _ in range(2 * FOLDS)]
+                for text, y, k in zip(*(part.column(c).to_pylist() for c in ("text", "toxic", "part")), strict=True):
+                    found[k + FOLDS * (y <= 0)].update({f for t in set(tokens_of(text)) for f in features_of(t)})
+                names = sorted(set().union(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([x[f] for f in names], pa.int64()) for x in found]], names=["f", *columns])
+
+    columns = [f"t{k}" for k in range(FOLDS)] + [f"c{k}" for k in range(FOLDS)]
+    counts = sample.select("text", "toxic", "part").mapInArrow(counted, "f string, " + ", ".join(f"{c} long" for c in columns)).groupBy("f").agg(*[F.sum(c).alias(c) for c in columns])
+
+    def significance(but: int):
+        folds = [k for k in range(FOLDS) if k != but]
+        nt, nc = sum(toxic[k] for k in folds), sum(clean[k] for k in folds)
+        if not nt or not nc:
+            return F.lit(0.0)
+        t, c = (reduce(add, [F.col(f"{x}{k}") for k in folds]) for x in "tc")
+        prior = PRIOR_SHARE * (nt + nc)
+        rate = (t + c) / (nt + nc)
+        a, b = t + prior * rate, c + prior * rate
+        odds = F.log(a / (nt + prior - a)) - F.log(b / (nc + prior - b))
+        return F.when(t + c >= MIN_DOCS, F.abs(odds / F.sqrt(1 / a + 1 / b))).otherwise(0.0)
+
+    # what is significant over all folds or over all but one; a little less, as sums may differ in their last digits
+    kept = counts.where(F.greatest(*[significance(k) for k in range(-1, FOLDS)]) > SIGNIFICANT - 1e-6).collect()
+    found = [(r["f"], [r[f"t{k}"] for k in range(FOLDS)], [r[f"c{k}"] for k in range(FOLDS)]) for r in kept]
+    model = Model(odds_of(found, toxic, clean))
+    models = [Model(odds_of(found, toxic, clean, k)) for k in range(FOLDS)]
+
+    def law(n: int, scores: np.ndarray):
+        values, times = np.unique(np.round(scores / STEP).astype(np.int64), return_counts=True)
+        return n, max((s for _, _, s in segments(scores)), default=0.0), values.tolist(), times.tolist()
+
+    held = _per_document(sample, models, "toxic boolean, n long, best double, score array<long>, times array<long>", law)
     histogram: Counter = Counter()
     for r in held:
-        histogram.update(dict(zip(r["score"], r["times"], strict=True)))
+        if not r["toxic"]:
+            histogram.update(dict(zip(r["score"], r["times"], strict=True)))
     model.rate = _rate(histogram)
-    clean = [(r["n"], max(r["segments"], default=0.0)) for r in held if not r["toxic"] and r["n"]]
-    weight = sum(n * math.exp(-model.rate * s) for n, s in clean)
-    model.size = len(clean) / weight if weight else 1.0
-    x = np.array([math.log1p(model.evidence([(0, 0, s) for s in r["segments"]], r["n"])) for r in held])
+    extremes = [(r["n"], r["best"]) for r in held if not r["toxic"] and r["n"]]
+    weight = sum(n * math.exp(-model.rate * s) for n, s in extremes)
+    model.size = len(extremes) / weight if weight else 1.0
+    held = _per_document(sample, models, "toxic boolean, evidence double", lambda n, scores: (model.evidence(segments(scores), n),))
+    x = np.array([math.log1p(r["evidence"]) for r in held])
     y = np.array([float(r["toxic"]) for r in held])
-    if 0 < y.sum() < len(y):
-        model.bias, model.slope = _curve(x, y)
-        model.slope = max(0.0, model.slope)
-    else:
-        model.bias, model.slope = -2.0, 1.0
+    model.bias, model.slope = _curve(x, y)
+    model.slope = max(0.0, model.slope)
     return model
 
 

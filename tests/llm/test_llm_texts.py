@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -148,6 +150,102 @@ def test_toxicity_without_labels_and_odd_rows(spark):
     assert toxicity.clean_documents(odd(spark), model).columns == odd(spark).columns
 
 
+def test_model_equals_brute_force(spark):
+    df, labels, truth = toxic_corpus(spark, 240)
+    model = toxicity.fit(df, labels)
+    texts = {r.doc_id: r.text for r in df.collect()}
+    fold = {i: int(hashlib.md5(str(i).encode()).hexdigest()[24:32], 16) % 3 for i in texts}
+
+    def learned(ids):
+        ids = list(ids)
+        n = {y: sum(truth[i] == y for i in ids) for y in (0, 1)}
+        stands = {}
+        for i in ids:
+            for f in {f for w in re.findall(r"\w+", texts[i].lower()) for f in [w + " "] + [w[:k] for k in (3, 4, 5, 6, 7, 8) if len(w) >= k]}:
+                stands.setdefault(f, [0, 0])[truth[i]] += 1
+        out = {}
+        for f, (c, t) in stands.items():
+            def odds(share):
+                prior = share * (n[0] + n[1])
+                a, b = (x + prior * (c + t) / (n[0] + n[1]) for x in (t, c))
+                o = math.log(a / (n[1] + prior - a) * (n[0] + prior - b) / b)
+                return o, abs(o) / math.sqrt(1 / a + 1 / b)
+
+            if c + t >= 3 and odds(0.2)[1] >= 2.5:
+                o = odds(0.02)[0]
+                if o <= 0 or o >= 2:
+                    out[f] = min(6.0, o) if o > 0 else max(-1.0, -0.25 + 0.1 * o)
+        return out
+
+    want = learned(texts)
+    assert model.odds.keys() == want.keys() and all(model.odds[f] == pytest.approx(want[f]) for f in want)
+
+    def token(w, odds):
+        return max([odds[f] for f in [w + " "] + [w[:k] for k in range(3, 9) if len(w) >= k] if f in odds], default=-0.25)
+
+    def evidence(i, odds):
+        scores = [token(w, odds) for w in re.findall(r"\w+", texts[i].lower())]
+        best, low = [], 0  # maximal segments by their definition, from the best one outwards
+
+        def split(a, b):
+            total, top, at, start = 0.0, 0.0, None, a
+            for k in range(a, b):
+                if total <= 0:
+                    total, start = 0.0, k
+                total += scores[k]
+                if total > top + 1e-12:
+                    top, at = total, (start, k + 1)
+            if at:
+                best.append(top)
+                split(a, at[0])
+                split(at[1], b)
+
+        split(low, len(scores))
+        floor = math.log(max(1.0, model.size * len(scores)))
+        return sum(max(0.0, model.rate * s - floor) for s in best), max(best, default=0.0), len(scores)
+
+    for r in toxicity.scored(df, model).collect():
+        e = evidence(r.doc_id, want)[0]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-model.bias - model.slope * math.log1p(e))), abs=1e-9)
+    # the law and the curve come from documents that taught nothing to the odds they are scored by
+    others = {k: learned(i for i in texts if fold[i] != k) for k in range(3)}
+    clean = [evidence(i, others[fold[i]]) for i in texts if not truth[i]]
+    assert model.size == pytest.approx(len(clean) / sum(n * math.exp(-model.rate * s) for _, s, n in clean))
+    x = [(math.log1p(evidence(i, others[fold[i]])[0]), truth[i]) for i in texts]
+    slope = sum((1 / (1 + math.exp(-model.bias - model.slope * v)) - y) for v, y in x)
+    assert abs(slope) < 1e-3  # the curve's bias is at its best
+
+
+def test_labels_of_held_out_rows_change_nothing(spark, tmp_path):
+    import zlib
+
+    from quillon.llm.queries_toxicity import op2_toxic_segments
+
+    df, labels, truth = toxic_corpus(spark, 300)
+    scores = []
+    for flip in (False, True):
+        d = f"{tmp_path}/{flip}"
+        df.write.parquet(f"{d}/documents.parquet")
+        rows = [(i, y ^ (flip and zlib.crc32(str(i).encode()) % 5 == 0)) for i, y in truth.items()]
+        spark.createDataFrame(rows, "doc_id long, toxic int").write.parquet(f"{d}/labels.parquet")
+        scores.append({r.doc_id: r.score for r in op2_toxic_segments(spark, d).collect()})
+    assert scores[0] == scores[1] and sum((s >= 0.5) == truth[i] for i, s in scores[0].items()) >= 0.95 * len(truth)
+
+
+def test_toxicity_of_odd_rows_with_a_model(spark):
+    df, labels, _ = toxic_corpus(spark)
+    model = toxicity.fit(df, labels)
+    long = "calm " * 50_000 + "vile rotten scum " * 3 + "calm " * 50_000
+    rows = odd(spark).unionByName(odd(spark).where("doc_id = 1").withColumn("doc_id", F.lit(77).cast("long")).withColumn("text", F.lit(long)))
+    got = {}
+    for r in toxicity.scored(rows, model).collect():
+        got.setdefault(r.doc_id, []).append(r.score)
+    assert sum(map(len, got.values())) == 13 and got[77][0] >= 0.5
+    blank = model.probability(0.0)
+    assert got[2] == got[3] == got[4] == [blank] and blank < 0.5 and len(got[5]) == 3 and got[1][0] in got[5]
+    assert toxicity.clean_documents(rows.limit(0), model).count() == 0
+
+
 def test_held_out_rows_dont_teach(spark):
     from quillon.llm.queries_toxicity import op2_toxic_segments
 
