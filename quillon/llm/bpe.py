@@ -11,8 +11,14 @@ characters that aren't white space always begins a match.  So a text without run
 space at spaces is encoded space by space, and each distinct piece only once while it is in
 a bounded memo.
 
+Decoding joins the characters of the ids' tokens and reverses the byte table; a character whose
+bytes several tokens share is whole again when the last of them has come.  Tokens cover a text's
+bytes without gaps, so the ends of their bytes are their offsets.
+
 Defined results: a null text is an empty text; an empty text has no tokens; any text, with
-lone white space of any kind, control characters or very long runs, decodes to its bytes.
+lone white space of any kind, control characters or very long runs, decodes to its bytes;
+repeated rows are encoded again, each to the same; null ids stay null; columns of any name beside
+id and text are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +29,7 @@ import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +61,16 @@ class ByteBPE:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.table = dict(enumerate(byte_characters()))
         self.of_char = {ord(c): b for b, c in self.table.items()}
-        self.bytes_of = {i: t for t, i in ranks.items()}
-        self.own = {i: i for i in self.bytes_of}  # one int object per id, shared by the memo
-        self.text_of = {i: str(i) for i in self.bytes_of}
+        self.back = np.zeros(max(self.of_char) + 1, np.uint8)
+        self.back[list(self.of_char)] = list(self.of_char.values())
         self.vocab = {self.mapped(t): i for t, i in ranks.items()}
+        self.chars_of = {i: c for c, i in self.vocab.items()}
+        self.own = {i: i for i in self.chars_of}  # one int object per id, shared by the memo
+        self.text_of = {i: str(i) for i in self.chars_of}
+        self.lengths = np.zeros(max(self.own, default=0) + 1, np.int64)
+        self.inside = np.zeros(len(self.lengths), bool)
+        for t, i in ranks.items():
+            self.lengths[i], self.inside[i] = len(t), 0x80 <= t[0] < 0xC0
         merges = [
             (self.mapped(t[:i]), self.mapped(t[i:]))
             for t in sorted(ranks, key=ranks.get)
@@ -76,7 +89,7 @@ class ByteBPE:
 
     def unmapped(self, text: str) -> bytes:
         """The reverse of :meth:`mapped`."""
-        return text.translate(self.of_char).encode("latin-1")
+        return self.back[np.frombuffer(text.encode("utf-16-le"), np.uint16)].tobytes() if text else b""
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         out: list[int] = []
@@ -125,8 +138,14 @@ class ByteBPE:
                 at += len(value)
         return out
 
+    def ends(self, ids: list[int]) -> tuple[np.ndarray, int]:
+        """Where each token's bytes end in the text's UTF-8, and how many tokens begin inside a character."""
+        at = np.fromiter(ids, np.int64, len(ids))
+        return np.cumsum(self.lengths[at]), int(self.inside[at].sum())
+
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+        """Bytes of the ids: their tokens' characters, through the byte table reversed."""
+        return self.unmapped("".join(map(self.chars_of.__getitem__, ids)))
 
     def decode(self, ids: Iterable[int]) -> str:
         """Text of the ids; bytes that aren't UTF-8 become U+FFFD."""
@@ -138,7 +157,7 @@ class ByteBPE:
 
         decoder = codecs.getincrementaldecoder("utf-8")("replace")
         for i in ids:
-            yield decoder.decode(self.bytes_of[i])
+            yield decoder.decode(self.unmapped(self.chars_of[i]))
         yield decoder.decode(b"", final=True)
 
 
@@ -173,9 +192,10 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, ids array<int>, decodes boolean)`` of each row of ``docs``; map only.
+    """``(doc_id, n_tokens, ids array<int>, ends array<int>, decodes boolean)`` of each row of ``docs``; map only.
 
-    ``decodes`` tells whether the ids decode to the text's bytes.
+    ``ends`` tells where each token's bytes end in the text's UTF-8, ``decodes`` whether the ids
+    decode to the text's bytes.
     """
 
     def run(batches):
@@ -189,32 +209,40 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                         part.column("doc_id"),
                         pa.array([len(i) for i in ids], pa.int64()),
                         pa.array(ids, pa.list_(pa.int32())),
+                        pa.array([bpe.ends(i)[0].astype(np.int32) for i in ids], pa.list_(pa.int32())),
                         pa.array([bpe.decode_bytes(i) == (t or "").encode() for i, t in zip(ids, texts, strict=True)], pa.bool_()),
                     ],
-                    names=["doc_id", "n_tokens", "ids", "decodes"],
+                    names=["doc_id", "n_tokens", "ids", "ends", "decodes"],
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decodes boolean")
+    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ends array<int>, decodes boolean")
 
 
 def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digest row of each text: what the library encodes and decodes, without carrying the ids on."""
+    """Digest row of each text: what the library encodes and decodes, without carrying the ids on.
+
+    ``ends_sha256`` is the digest of the token ends, eight bytes each, least first; ``n_split``
+    counts the tokens that begin inside a character.
+    """
 
     def run(batches):
         bpe = codec(ranks_path, pattern)
         for batch in batches:
             for part in chunks(batch, "text"):
-                n, ids_sha, raw_sha = [], [], []
+                n, ids_sha, raw_sha, ends_sha, split = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     ids = bpe.encode(text)
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(",".join(map(bpe.text_of.__getitem__, ids)).encode()).hexdigest())
                     raw_sha.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+                    ends, inside = bpe.ends(ids)
+                    ends_sha.append(hashlib.sha256(ends.astype("<i8").tobytes()).hexdigest())
+                    split.append(inside)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                    [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(raw_sha, pa.string()), pa.array(ends_sha, pa.string()), pa.array(split, pa.int64())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256", "n_split"],
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string, n_split long")

@@ -516,21 +516,29 @@ def test_encoding_is_that_of_the_ranks(reference, codec, text):
     raw = text.encode()
     assert [i for i, _, _ in offsets] == ids
     assert b"".join(raw[a:b] for _, a, b in offsets) == raw
-    assert codec.unmapped(codec.mapped(raw)) == raw
+    assert codec.unmapped(codec.mapped(raw)) == raw and codec.decode_bytes(ids) == raw
+    ends, split = codec.ends(ids)
+    assert ends.tolist() == [b for _, _, b in offsets]
+    assert split == sum(0x80 <= raw[a] < 0xC0 for _, a, b in offsets)
 
 
-def test_encoded_documents(spark, reference, monkeypatch):
-    got = bpe.encoded_digests(odd(spark), RANKS, public_tokenizers.PATTERN).collect()
-    want = []
+def test_encoded_documents(spark, reference):
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want, offsets = [], []
     for i, t, *_ in ODD:
-        ids = reference.encode_ordinary(t or "") if len(t or "") < 100_000 else None
-        if ids is not None:
-            want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    short = [tuple(x) for x in got if x.doc_id not in (8, 9)]
-    assert len(got) == 12 and sorted(short, key=repr) == sorted(want, key=repr)
+        raw, ids = (t or "").encode(), reference.encode_ordinary(t or "")
+        sizes = [len(reference.decode_single_token_bytes(k)) for k in ids]
+        ends = np.cumsum(sizes).tolist()
+        split = sum(0x80 <= raw[e - n] < 0xC0 for e, n in zip(ends, sizes, strict=True))
+        want.append((i, len(ids), sha(",".join(map(str, ids)).encode()), sha(raw), sha(np.array(ends, "<i8").tobytes()), split))
+        offsets.append((i, ids, ends))
+    got = bpe.encoded_digests(odd(spark), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
     whole = bpe.encode_documents(odd(spark), RANKS, public_tokenizers.PATTERN).collect()
     assert all(x.decodes and x.n_tokens == len(x.ids) for x in whole)
+    assert sorted(((x.doc_id, x.ids, x.ends) for x in whole), key=repr) == sorted(offsets, key=repr)
     assert bpe.encoded_digests(odd(spark).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+    assert any(x[-1] for x in want)
 
 
 def test_small_memo(monkeypatch, reference):
