@@ -158,8 +158,14 @@ def knn_sharded(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "co
 def unreachable(corpus: DataFrame, metric: str = "cosine") -> DataFrame:
     """``(q_id, id, distance)`` of vectors that aren't their own nearest neighbour.
 
-    Of exact duplicates only the one with the least id is; they are reported, not an error.
+    Of exact duplicates only the one with the least id is; they are reported, not an error.  Under
+    l2 nothing else is nearer to a vector than its duplicates, so these are grouped and no pairs
+    are made; other metrics need a search of all vectors.
     """
+    if metric == "l2":
+        homes = corpus.groupBy("vec").agg(F.min("id").alias("_home"))
+        found = corpus.join(homes, "vec").where(F.col("id") > F.col("_home"))
+        return found.select(F.col("id").alias("q_id"), F.col("_home").alias("id"), F.lit(0.0).cast("float").alias("distance"))
     found = knn(corpus, corpus.select(F.col("id").alias("q_id"), F.col("vec").alias("q")), 1, metric)
     return found.where("q_id <> id").select("q_id", "id", "distance")
 

@@ -20,11 +20,6 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
 
-def queries_below(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    """The query set: the vectors with the least ids."""
-    return corpus(spark, sf_dir).where(F.col("id") < n).select(F.col("id").alias("q_id"), F.col("vec").alias("q"))
-
-
 def queries_every(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     """The query set that grows with the table: the vectors whose ids ``n`` divides."""
     return corpus(spark, sf_dir).where(F.col("id") % n == 0).select(F.col("id").alias("q_id"), F.col("vec").alias("q"))

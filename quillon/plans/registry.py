@@ -53,7 +53,8 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/engine-{uuid.uuid4().hex}"
 
 
-Q = 20
+#: Queries are the vectors whose ids this divides.
+EVERY = 50
 K = 10
 
 
@@ -68,11 +69,14 @@ _DISTANCE = {
 }
 
 
+_EVERY = f"a.id % {EVERY} = 0"
+
+
 def _knn_sql(metric: str, queries: str, k: int, source: str = "emb") -> str:
     return f"""
 WITH {fx.SQL_EMB},
 m AS (SELECT *, sqrt(list_inner_product(e, e)) AS nn FROM {source}),
-p AS (SELECT a.id AS q_id, b.id AS vec_id, CAST({_DISTANCE[metric]} AS FLOAT) AS d FROM m a, m b WHERE a.id < {queries}),
+p AS (SELECT a.id AS q_id, b.id AS vec_id, CAST({_DISTANCE[metric]} AS FLOAT) AS d FROM m a, m b WHERE {queries}),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS rank FROM p)
 SELECT q_id, CAST(rank AS INT) AS rank, vec_id, round(CAST(d AS DOUBLE), 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {k}"""
 
@@ -80,28 +84,28 @@ SELECT q_id, CAST(rank AS INT) AS rank, vec_id, round(CAST(d AS DOUBLE), 6) + 0.
 # --- search -------------------------------------------------------------------------------------
 
 
-@_query(_knn_sql("cosine", Q, K))
+@_query(_knn_sql("cosine", _EVERY, K))
 def knn_cosine_exact(spark, sf_dir):
-    return _told(knn.knn(fx.corpus(spark, sf_dir), fx.queries_below(spark, sf_dir, Q), K, "cosine"))
+    return _told(knn.knn(fx.corpus(spark, sf_dir), fx.queries_every(spark, sf_dir, EVERY), K, "cosine"))
 
 
-@_query(_knn_sql("l2", Q, K))
+@_query(_knn_sql("l2", _EVERY, K))
 def knn_l2_exact(spark, sf_dir):
-    return _told(knn.knn(fx.corpus(spark, sf_dir), fx.queries_below(spark, sf_dir, Q), K, "l2"))
+    return _told(knn.knn(fx.corpus(spark, sf_dir), fx.queries_every(spark, sf_dir, EVERY), K, "l2"))
 
 
-@_query(_knn_sql("dot", Q, K))
+@_query(_knn_sql("dot", _EVERY, K))
 def knn_dot_exact(spark, sf_dir):
     """Ascending by the product, so the least alike come first."""
-    return _told(knn.knn(fx.corpus(spark, sf_dir), fx.queries_below(spark, sf_dir, Q), K, "dot"))
+    return _told(knn.knn(fx.corpus(spark, sf_dir), fx.queries_every(spark, sf_dir, EVERY), K, "dot"))
 
 
-@_query(_knn_sql("cosine", Q, K))
+@_query(_knn_sql("cosine", _EVERY, K))
 def knn_by_expression(spark, sf_dir):
-    return _told(knn.knn_by_expression(fx.corpus(spark, sf_dir), fx.queries_below(spark, sf_dir, Q), K, "cosine"))
+    return _told(knn.knn_by_expression(fx.corpus(spark, sf_dir), fx.queries_every(spark, sf_dir, EVERY), K, "cosine"))
 
 
-@_query(_knn_sql("l2", 1, K))
+@_query(_knn_sql("l2", "a.id = 0", K))
 def knn_single_query(spark, sf_dir):
     c = fx.corpus(spark, sf_dir)
     q = list(c.where("id = 0").first()["vec"])
@@ -111,23 +115,23 @@ def knn_single_query(spark, sf_dir):
     return _told(found.withColumn("q_id", F.lit(0).cast("long")).withColumn("rank", F.row_number().over(Window.orderBy("distance", "id"))))  # K rows
 
 
-@_query(_knn_sql("l2", 2, 1_000_000))
+@_query(_knn_sql("l2", _EVERY, 1_000_000))
 def knn_k_exceeds_n(spark, sf_dir):
-    return _told(knn.knn(fx.corpus(spark, sf_dir), fx.queries_below(spark, sf_dir, 2), 1_000_000, "l2"))
+    return _told(knn.knn(fx.corpus(spark, sf_dir), fx.queries_every(spark, sf_dir, EVERY), 1_000_000, "l2"))
 
 
-@_query(_knn_sql("cosine", Q, K))
+@_query(_knn_sql("cosine", _EVERY, K))
 def knn_sharded_merge(spark, sf_dir):
-    return _told(knn.knn_sharded(fx.corpus(spark, sf_dir), fx.queries_below(spark, sf_dir, Q), K, "cosine", 7))
+    return _told(knn.knn_sharded(fx.corpus(spark, sf_dir), fx.queries_every(spark, sf_dir, EVERY), K, "cosine", 7))
 
 
 @_query(
     f"""
 WITH {fx.SQL_EMB}, n AS (SELECT count(*) AS n FROM emb)
-SELECT q_id, least({K}, n) AS n, least({K}, n) AS n_distinct FROM (SELECT id AS q_id FROM emb WHERE id < {Q}), n"""
+SELECT q_id, least({K}, n) AS n, least({K}, n) AS n_distinct FROM (SELECT id AS q_id FROM emb WHERE id % {EVERY} = 0), n"""
 )
 def knn_result_shape(spark, sf_dir):
-    c, q = fx.corpus(spark, sf_dir), fx.queries_below(spark, sf_dir, Q)
+    c, q = fx.corpus(spark, sf_dir), fx.queries_every(spark, sf_dir, EVERY)
     found = knn.knn(c, q, K, "cosine").join(c.select("id"), "id", "left_semi")
     return found.groupBy("q_id").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("n_distinct"))
 
@@ -147,21 +151,21 @@ def self_reachability(spark, sf_dir):
     f"""
 WITH {fx.SQL_EMB}, {fx.SQL_LOG}, {fx.sql_live("op_log")},
 m AS (SELECT id, CAST(vec AS DOUBLE[]) AS e FROM live),
-q AS (SELECT id, e FROM emb WHERE id < 5),
+q AS (SELECT id, e FROM emb WHERE id % {EVERY} = 0),
 p AS (SELECT q.id AS q_id, m.id AS vec_id, CAST(list_distance(q.e, m.e) AS FLOAT) AS d FROM q, m),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS rank FROM p)
 SELECT q_id, CAST(rank AS INT) AS rank, vec_id, round(CAST(d AS DOUBLE), 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"""
 )
 def knn_after_replay(spark, sf_dir):
     live = log.replay(fx.op_log(spark, sf_dir)).select("id", "vec")
-    return _told(knn.knn(live, fx.queries_below(spark, sf_dir, 5), K, "l2"))
+    return _told(knn.knn(live, fx.queries_every(spark, sf_dir, EVERY), K, "l2"))
 
 
 @_query(
     f"""
 WITH {fx.SQL_EMB}, {fx.SQL_LOG}, prefix AS (SELECT * FROM op_log WHERE lsn <= {fx.SQL_MAX} // 2), {fx.sql_live("prefix")},
 m AS (SELECT id, CAST(vec AS DOUBLE[]) AS e FROM live),
-q AS (SELECT id, e FROM emb WHERE id < 5),
+q AS (SELECT id, e FROM emb WHERE id % {EVERY} = 0),
 p AS (SELECT q.id AS q_id, m.id AS vec_id, CAST(list_distance(q.e, m.e) AS FLOAT) AS d FROM q, m),
 r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY d, vec_id) AS rank FROM p)
 SELECT q_id, CAST(rank AS INT) AS rank, vec_id, round(CAST(d AS DOUBLE), 6) + 0.0::DOUBLE AS dist FROM r WHERE rank <= {K}"""
@@ -170,7 +174,7 @@ def knn_linearizable_read(spark, sf_dir):
     """Search of the state as of a log number: every write up to it, none after it."""
     ops = fx.op_log(spark, sf_dir)
     live = log.replay(log.upto(ops, fx.half(ops))).select("id", "vec")
-    return _told(knn.knn(live, fx.queries_below(spark, sf_dir, 5), K, "l2"))
+    return _told(knn.knn(live, fx.queries_every(spark, sf_dir, EVERY), K, "l2"))
 
 
 @_query(
@@ -180,21 +184,22 @@ SELECT id AS vec_id, round(CAST(distance AS DOUBLE), 6) AS dist FROM l ORDER BY
 )
 def merge_sorted_lists(spark, sf_dir):
     lists = fx.corpus(spark, sf_dir).select((F.col("id") % 3).cast("int").alias("list_no"), "id", F.get("vec", F.lit(0)).alias("distance"))
-    return knn.merge_topk(lists, 25).select(F.col("id").alias("vec_id"), F.round(F.col("distance").cast("double"), 6).alias("dist"))
+    legs = knn.merge_topk(lists, 25, ["list_no"]).drop("rank")
+    return knn.merge_topk(legs, 25).select(F.col("id").alias("vec_id"), F.round(F.col("distance").cast("double"), 6).alias("dist"))
 
 
 @_query(
     f"""
 WITH {fx.SQL_EMB}, d AS (SELECT id, CAST(list_distance(e, (SELECT e FROM emb WHERE id = 0)) AS FLOAT) AS d FROM emb ORDER BY d, id LIMIT 5)
-SELECT id AS vec_id, starts_with('id=' || id || ' dist=', 'id=') AS is_line FROM d"""
+SELECT id AS vec_id, 'id=' || id || ' dist=' || regexp_replace(CAST(d AS VARCHAR), '\\.0$', '') AS line FROM d"""
 )
 def result_lines(spark, sf_dir):
     c = fx.corpus(spark, sf_dir)
     found = knn.nearest(c, list(c.where("id = 0").first()["vec"]), 5, "l2")
-    return found.select(F.col("id").alias("vec_id"), neighbor_line(F.col("id"), F.col("distance")).startswith("id=").alias("is_line"))
+    return found.select(F.col("id").alias("vec_id"), neighbor_line(F.col("id"), F.col("distance")).alias("line"))
 
 
-_PARAMS = hnsw.Params(m=16, ef_construction=100, ef_search=100)
+_PARAMS = hnsw.Params()
 
 
 def _graph(spark, sf_dir, shards=4):
@@ -203,12 +208,12 @@ def _graph(spark, sf_dir, shards=4):
 
 @_query()
 def hnsw_search(spark, sf_dir):
-    return _told(hnsw.search(_graph(spark, sf_dir), fx.queries_every(spark, sf_dir, 50), K, "cosine", _PARAMS))
+    return _told(hnsw.search(_graph(spark, sf_dir), fx.queries_every(spark, sf_dir, EVERY), K, "cosine", _PARAMS))
 
 
-@_query(f"SELECT CAST(least({Q}, count(*)) * {K} AS BIGINT) AS expected, true AS recall_ok FROM embeddings")
+@_query(f"SELECT CAST(count(*) FILTER (vec_id % {EVERY} = 0) * {K} AS BIGINT) AS expected, true AS recall_ok FROM embeddings")
 def hnsw_recall(spark, sf_dir):
-    q = fx.queries_below(spark, sf_dir, Q)
+    q = fx.queries_every(spark, sf_dir, EVERY)
     found = hnsw.search(_graph(spark, sf_dir), q, K, "cosine", _PARAMS)
     got = knn.recall(found, knn.knn(fx.corpus(spark, sf_dir), q, K, "cosine"))
     return got.select("expected", (F.col("recall") >= 0.95).alias("recall_ok"))
@@ -385,7 +390,6 @@ SELECT lsn, op, id FROM op_log WHERE lsn < {fx.SQL_MAX} * 3 // 4"""
 )
 def log_durable_prefix(spark, sf_dir):
     ops = fx.op_log(spark, sf_dir)
-    torn = fx.half(ops)
     torn = ops.agg(F.max("lsn")).first()[0] * 3 // 4
     records = ops.select(F.floor((F.col("lsn") - 1) / fx.SEGMENT).alias("seg"), ((F.col("lsn") - 1) % fx.SEGMENT).alias("off"), "lsn", "op", "id", (F.col("lsn") >= torn).alias("is_bad"))
     return log.durable_prefix(records).select("lsn", "op", "id")
@@ -436,14 +440,20 @@ def log_index_gaps(spark, sf_dir):
     return log.index_gaps(rows).select("pos", "idx")
 
 
-@_query(f"{_SUPER} SELECT idx, term, op, id FROM w WHERE (later IS NULL OR later > idx) AND idx <= 500")
+@_query(f"{_SUPER} SELECT idx, term, op, id FROM w WHERE (later IS NULL OR later > idx) AND idx <= (SELECT max(idx) FROM s) // 2")
 def committed_commands(spark, sf_dir):
-    return log.surviving(fx.super_log(fx.op_log(spark, sf_dir))).where(F.col("idx") <= 500).select("idx", "term", "op", "id")
+    """Surviving records up to the commit index, here in the middle of the log."""
+    records = fx.super_log(fx.op_log(spark, sf_dir))
+    commit = records.agg(F.max("idx")).first()[0] // 2
+    return log.surviving(records).where(F.col("idx") <= commit).select("idx", "term", "op", "id")
 
 
-@_query(f"{_SUPER} SELECT idx, term, op, id FROM w WHERE pos <= 700 AND idx <= 600")
+@_query(f"{_SUPER} SELECT idx, term, op, id FROM w WHERE pos <= (SELECT max(pos) FROM s) * 7 // 10 AND idx <= (SELECT max(idx) FROM s) * 6 // 10")
 def persisted_commands(spark, sf_dir):
-    return fx.super_log(fx.op_log(spark, sf_dir)).where("pos <= 700 AND idx <= 600").select("idx", "term", "op", "id")
+    """Records in the durable part of a log, up to the index a restored state has."""
+    records = fx.super_log(fx.op_log(spark, sf_dir))
+    pos, idx = records.agg(F.max("pos"), F.max("idx")).first()
+    return records.where((F.col("pos") <= pos * 7 // 10) & (F.col("idx") <= idx * 6 // 10)).select("idx", "term", "op", "id")
 
 
 @_query(
@@ -542,9 +552,9 @@ def store_count(spark, sf_dir):
     return live.join(F.broadcast(last)).select("n", (F.col("n") == F.col("m")).alias("equal"))
 
 
-@_query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+@_query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mean FROM events GROUP BY 1")
 def latency_percentiles(spark, sf_dir):
-    p = lambda x: F.percentile("value", x)
+    p = lambda x: F.round(F.percentile("value", x), 6)
     return fx.table(spark, sf_dir, "events").groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.avg("value"), 6).alias("mean"))
 
 
