@@ -1,11 +1,12 @@
 """Suffix arrays of byte strings by induced sorting, and permuted common prefixes, in numpy.
 
 ``suffix_array`` classifies suffixes as smaller or larger than their right neighbour, sorts the
-leftmost smaller (LMS) substrings, names them, sorts the string of names (by recursion on names
-while their alphabet is that of bytes, by doubling ranks beyond) and induces the whole array from
-the sorted LMS suffixes.  Induction goes bucket by bucket; inside a bucket, all suffixes whose
-order is known induce their left neighbours at once, so a bucket takes as many array operations
-as its character's longest run, and the work is linear in the text.
+leftmost smaller (LMS) substrings by induction, names them, sorts the string of names by the same
+method, level by level until all names differ, and induces the array from the sorted LMS suffixes.
+Over bytes, induction goes bucket by bucket: inside a bucket, all suffixes whose order is known
+induce their left neighbours at once, so a bucket takes as many array operations as its character's
+longest run.  Over names, of which there may be as many as positions, one scan in each direction
+places suffixes one by one.  Either way the work is linear in the text.
 
 ``common_prefixes`` gives, for each position in text order, the length it has in common with the
 suffix before it in the array.  Only positions whose left character differs from that of their
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Alphabet up to which induction by buckets is used.
+#: Alphabet up to which induction goes by buckets; beyond, by single suffixes, with the same result.
 BYTE_ALPHABET = 258
 
 
@@ -103,23 +104,31 @@ def _induced(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, alphabet: in
     return np.concatenate(out)
 
 
-def _by_doubling(names: np.ndarray) -> np.ndarray:
-    """Suffix array of integers by sorting pairs of ranks of ever twice the length."""
-    n = len(names)
-    rank = names.astype(np.int64)
-    width = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - width] = rank[width:] + 1 if width < n else 0
-        key = rank * (n + 2) + second
-        order = np.argsort(key, kind="stable")
-        fresh = np.empty(n, np.int64)
-        k = key[order]
-        fresh[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
-        rank = fresh
-        if rank.max() == n - 1 or width >= n:
-            return order
-        width *= 2
+def _scanned(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, alphabet: int) -> np.ndarray:
+    """As :func:`_induced`, by one scan for the larger suffixes and one back for the smaller ones."""
+    counts = np.bincount(s, minlength=alphabet)
+    ends = np.cumsum(counts)
+    text, is_less = s.tolist(), smaller.tolist()
+    array = [-1] * len(text)
+    tail = ends.tolist()
+    for p in seeds[::-1].tolist():
+        c = text[p]
+        tail[c] -= 1
+        array[tail[c]] = p
+    head = (ends - counts).tolist()
+    for p in array:  # grows ahead of the scan
+        if p > 0 and not is_less[p - 1]:
+            c = text[p - 1]
+            array[head[c]] = p - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for i in range(len(array) - 1, -1, -1):
+        p = array[i]
+        if p > 0 and is_less[p - 1]:
+            c = text[p - 1]
+            tail[c] -= 1
+            array[tail[c]] = p - 1
+    return np.array(array, np.int64)
 
 
 def _sorted(s: np.ndarray, alphabet: int) -> np.ndarray:
@@ -129,7 +138,8 @@ def _sorted(s: np.ndarray, alphabet: int) -> np.ndarray:
         return np.zeros(1, np.int64)
     smaller = _types(s)
     lms = _lms(smaller)
-    first = _induced(s, smaller, lms, alphabet)
+    induced = _induced if alphabet <= BYTE_ALPHABET else _scanned
+    first = induced(s, smaller, lms, alphabet)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     ordered = first[is_lms[first]]
@@ -151,13 +161,8 @@ def _sorted(s: np.ndarray, alphabet: int) -> np.ndarray:
     names[ordered] = np.concatenate([[0], np.cumsum(~same)])
     text = names[lms]
     top = int(text.max()) + 1
-    if top == len(lms):
-        seeds = ordered
-    elif top <= BYTE_ALPHABET:
-        seeds = lms[_sorted(text, top)]
-    else:
-        seeds = lms[_by_doubling(text)]
-    return _induced(s, smaller, seeds, alphabet)
+    seeds = ordered if top == len(lms) else lms[_sorted(text, top)]
+    return induced(s, smaller, seeds, alphabet)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:

@@ -280,6 +280,18 @@ def test_suffix_array_and_prefixes(raw):
     assert lcp[want[0]] == 0
 
 
+@pytest.mark.parametrize("alphabet", [258, 2])
+def test_names_are_sorted_by_recursion(monkeypatch, alphabet):
+    monkeypatch.setattr(suffix_array, "BYTE_ALPHABET", alphabet)
+    real, levels = suffix_array._sorted, []
+    monkeypatch.setattr(suffix_array, "_sorted", lambda s, n: levels.append((len(s), n)) or real(s, n))
+    r = random.Random(13)
+    raw = (prose(r, 3000, 400) + " " + prose(r, 200, 50) * 3 + "ab" * 400).encode()
+    assert suffix_array.suffix_array(np.frombuffer(raw, np.uint8)).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    assert len(levels) >= 3 and max(n for _, n in levels[1:]) > 258
+    assert all(2 * b[0] <= a[0] + 2 for a, b in zip(levels, levels[1:]))
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, raw in rows:
