@@ -7,7 +7,13 @@ kept and the folder of the tables.  All but the last return the columns of ``doc
 2. line dedup: chunks of lines that repeat leave the texts, no row goes;
 3. near dedup: of each group of near copies, alike by ``NEAR_PERCENT`` of five-word shingles, the row with the smallest id stays;
 4. mixing: rows are taken as often as their source's target asks, in order of virtual finish time;
-5. byte-level BPE: token ids of each row, and whether they decode to its text.
+5. byte-level BPE: token ids of each row, where their bytes end, and whether they decode to its text.
+
+Null and empty texts aren't toxic, have no lines to remove and no near copies, so they stay up to
+the mix, which takes no rows without words.  Null ids take no part in line and near dedup and stay.
+Repeated rows stay or go together in stage 1 and 2; rows with equal ids are one document in stage 2
+and 3; ties go by id.  Very long texts are handled whole, empty tables give empty ones, and extra
+columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
