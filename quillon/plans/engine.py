@@ -13,7 +13,7 @@ from quillon.functions.distance import metric_of
 from quillon.operators import hnsw, knn
 from quillon.operators.log import last_writes, replay, should_compact, upto
 from quillon.schema import DELETE, LOG, PUT, VECTOR, Duplicate, EngineError, NotFound, checked
-from quillon.sources.files import append_log, read_log, read_snapshot, write_snapshot
+from quillon.sources.files import _place, append_log, has_graph, read_graph, read_log, read_snapshot, truncate_log, write_graph, write_snapshot
 
 
 class Collection:
@@ -32,8 +32,7 @@ class Collection:
                 self._lsn = max(self._lsn, log.agg(F.coalesce(F.max("lsn"), F.lit(0))).first()[0])
 
     def _stored_log(self) -> DataFrame | None:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, p = _place(self.spark, f"{self.path}/log")
         return read_log(self.spark, f"{self.path}/log") if fs.exists(p) else None
 
     def log(self) -> DataFrame:
@@ -45,7 +44,7 @@ class Collection:
         self._lsn += 1
         batch = rows.select(F.lit(self._lsn).cast("long").alias("lsn"), "op", "id", "vec")
         if self.path is not None:
-            append_log(batch, f"{self.path}/log")
+            append_log(batch, f"{self.path}/log", segment=1)
         else:
             self._log = batch if self._log is None else self._log.unionByName(batch)
         return self._lsn
@@ -107,14 +106,32 @@ class Collection:
         if method == "sharded":
             return knn.knn_sharded(live, q, k, self.metric, shards)
         if method == "hnsw" and isinstance(self.metric, str):
-            return hnsw.search(hnsw.build(live, shards, self.metric, params), q, k, self.metric, params)
+            stored = self._index_path(shards, params)
+            graph = read_graph(self.spark, stored)[0] if stored is not None and has_graph(self.spark, stored) else hnsw.build(live, shards, self.metric, params)
+            return hnsw.search(graph, q, k, self.metric, params)
         raise EngineError(f"unknown method {method!r}")
 
+    def _index_path(self, shards: int, params: hnsw.Params | None) -> str | None:
+        """Where the graph of the present state lies, if it has been built; a write makes it another place."""
+        p = params or hnsw.Params()
+        return None if self.path is None else f"{self.path}/index/{self._lsn:020d}-{shards}-{p.m}-{p.ef_construction}-{p.seed}"
+
+    def build_index(self, shards: int = 4, params: hnsw.Params | None = None) -> str:
+        """Stores the graph of the present state; searches with the same settings read it until the next write."""
+        path = self._index_path(shards, params)
+        if path is None:
+            raise EngineError("the collection has no path")
+        if not has_graph(self.spark, path):
+            write_graph(hnsw.build(self.vectors(), shards, self.metric, params), path, {"lsn": self._lsn, "metric": self.metric, "shards": shards})
+        return path
+
     def checkpoint(self) -> int:
-        """Writes a snapshot of everything so far; returns its watermark."""
+        """Writes a snapshot of everything so far, points the manifest at it, then deletes the log that
+        it covers; returns its watermark.  A crash in between leaves more log to replay."""
         if self.path is None:
             raise EngineError("the collection has no path")
         write_snapshot(self.vectors(), self.path, self._lsn)
+        truncate_log(self.spark, f"{self.path}/log", self._lsn)
         return self._lsn
 
     def maybe_checkpoint(self, factor: float = 0.5, floor: int = 1000) -> bool:
@@ -140,6 +157,15 @@ class Engine:
         self._collections[name] = made = Collection(self.spark, name, dim, metric, seed, path)
         return made
 
+    def open_collection(self, name: str, dim: int, metric="cosine", seed: int = 1, path: str | None = None) -> Collection:
+        """A stored collection: what is there is recovered, and compacted where the log has grown too long."""
+        if path is None:
+            raise EngineError("a stored collection needs a path")
+        opened = self.create_collection(name, dim, metric, seed, path)
+        if opened._stored_log() is not None:
+            opened.maybe_checkpoint()
+        return opened
+
     def collection(self, name: str) -> Collection:
         if name not in self._collections:
             raise NotFound(f"collection {name!r}")
