@@ -59,6 +59,18 @@ def durable_prefix(records: DataFrame) -> DataFrame:
     return records.join(F.broadcast(bad), F.col("_bad").isNull() | (F.struct("seg", "off") < F.col("_bad"))).drop("_bad")
 
 
+def corrupt_segments(records: DataFrame) -> DataFrame:
+    """``seg`` of segments with a bad record that aren't the last: there it is damage, not a torn tail."""
+    last = records.agg(F.max("seg").alias("_last"))  # one row
+    return records.where("is_bad").select("seg").distinct().join(F.broadcast(last), F.col("seg") < F.col("_last")).select("seg")
+
+
+def from_members(messages: DataFrame, members: DataFrame, sender: str = "sender", member: str = "id") -> DataFrame:
+    """Messages of senders that the configuration lists; a null sender is nobody's."""
+    listed = members.select(F.col(member).alias("_member")).distinct()
+    return messages.join(listed, F.col(sender) == F.col("_member"), "left_semi")
+
+
 def truncatable_segments(log: DataFrame, watermark: int) -> DataFrame:
     """``(seg, max_lsn)`` of segments that a snapshot covers; never the last one, which is in use."""
     segments = log.groupBy("seg").agg(F.max("lsn").alias("max_lsn"))

@@ -14,7 +14,7 @@ from quillon.functions.vectors import neighbor_line, parse_vector
 from quillon.operators import audit, hnsw, knn, log
 from quillon.plans import fixtures as fx
 from quillon.schema import defect, is_valid
-from quillon.sources.files import append_log, gaussian, parse_manifest, point_lookup, read_log, read_snapshot, write_snapshot
+from quillon.sources.files import append_log, gaussian, parse_manifest, point_lookup, read_graph, read_log, read_snapshot, truncate_log, uncompacted_log, write_graph, write_snapshot
 from quillon.streaming import apply
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,6 +234,36 @@ def hnsw_index_set(spark, sf_dir):
     return audit.set_difference(_graph(spark, sf_dir), fx.corpus(spark, sf_dir))
 
 
+@_query(
+    """
+SELECT 'nodes' AS check, count(*) FILTER (vec_id % 10 <> 3) AS n FROM embeddings
+UNION ALL SELECT unnest(['one-sided links', 'links to nowhere', 'nodes over a cap', 'recall below 0.95']), 0"""
+)
+def hnsw_delete_repair(spark, sf_dir):
+    """A tenth of a stored graph is deleted, its neighbourhoods are repaired, and what is left is audited."""
+    path, shards = work_dir(spark), 4
+    write_graph(_graph(spark, sf_dir, shards), f"{path}/before", {"shards": shards})
+    vectors = fx.corpus(spark, sf_dir)
+    gone = vectors.where(F.col("id") % 10 == 3).select("id")
+    write_graph(hnsw.delete(read_graph(spark, f"{path}/before")[0], gone, shards, "cosine", _PARAMS), f"{path}/after", {"shards": shards})
+    after = read_graph(spark, f"{path}/after")[0]
+    q = fx.queries_every(spark, sf_dir, EVERY)
+    got = knn.recall(hnsw.search(after, q, K, "cosine", _PARAMS), knn.knn(vectors.where(F.col("id") % 10 != 3), q, K, "cosine"))
+    over = F.exists(F.transform("neighbors", lambda x, layer: F.size(x) > F.when(layer == 0, _PARAMS.cap(0)).otherwise(_PARAMS.cap(1))), lambda x: x)
+    counted = {
+        "nodes": after,
+        "one-sided links": hnsw.asymmetric_edges(after),
+        "links to nowhere": hnsw.edges(after).join(after.select(F.col("id").alias("b")), "b", "left_anti"),
+        "nodes over a cap": after.where(over),
+        "recall below 0.95": got.where("recall < 0.95"),
+    }
+    out = None
+    for check, rows in counted.items():
+        one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(check).alias("check"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --- scalars, scans, shards ---------------------------------------------------------------------
 
 
@@ -395,6 +425,35 @@ def log_durable_prefix(spark, sf_dir):
     return log.durable_prefix(records).select("lsn", "op", "id")
 
 
+@_query(
+    f"""
+WITH {fx.SQL_EMB}, {fx.SQL_LOG}, {fx.sql_live('op_log')},
+k AS (SELECT count(*) AS kept_records FROM op_log WHERE (lsn + {fx.SEGMENT - 1}) // {fx.SEGMENT} * {fx.SEGMENT} > {fx.SQL_MAX} // 2)
+SELECT id, CAST(len(vec) AS INT) AS dim, round(CAST(vec[1] AS DOUBLE), 6) AS v0, kept_records FROM live, k"""
+)
+def log_compaction(spark, sf_dir):
+    """A snapshot is written, the segments that it covers are deleted, and the state is recovered from what is left."""
+    ops = fx.op_log(spark, sf_dir)
+    mark, path = fx.half(ops), work_dir(spark)
+    append_log(ops, f"{path}/log", segment=fx.SEGMENT)
+    write_snapshot(log.replay(log.upto(read_log(spark, f"{path}/log"), mark)), path, mark)
+    truncate_log(spark, f"{path}/log", mark)
+    snapshot, at = read_snapshot(spark, path)
+    left = read_log(spark, f"{path}/log")
+    n = F.broadcast(left.agg(F.count(F.lit(1)).alias("kept_records")))  # one row
+    return _live(log.replay(left, snapshot, at)).drop("lsn").join(n)
+
+
+@_query(
+    """
+WITH m AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 3 <> 0)
+SELECT event_id, user_id FROM events WHERE user_id IN (SELECT id FROM m)"""
+)
+def member_messages(spark, sf_dir):
+    members = fx.corpus(spark, sf_dir).select("id").where("id % 3 <> 0")
+    return log.from_members(fx.table(spark, sf_dir, "events"), members, "user_id").select("event_id", "user_id")
+
+
 @_query(f"WITH {fx.SQL_EMB}, {fx.SQL_LOG} SELECT max(lsn) AS max_lsn FROM op_log")
 def log_max_lsn(spark, sf_dir):
     return fx.op_log(spark, sf_dir).agg(F.max("lsn").alias("max_lsn"))
@@ -469,6 +528,8 @@ def quorum_commit_index(spark, sf_dir):
     return log.commit_index(matches, terms, 2)
 
 
+_EXACT = "CASE WHEN x = 0 THEN CASE WHEN signbit(x) THEN '-0' ELSE '0' END " + " ".join(f"WHEN abs(x) < {below!r}::DOUBLE THEN '{n}:' || trunc(x * {scale!r}::DOUBLE)::BIGINT" for n, (below, scale) in enumerate(audit.BANDS)) + " END"
+
 # --- audits -------------------------------------------------------------------------------------
 
 _AUDIT = f"WITH {fx.SQL_EMB}, {fx.SQL_LOG}, {fx.SQL_MANIFEST}"
@@ -520,6 +581,58 @@ def compare_logs_first_diff(spark, sf_dir):
     return audit.first_disagreement(ops, fx.replica(ops))
 
 
+@_query(
+    f"""
+WITH {fx.SQL_EMB}, {fx.SQL_LOG}, t AS (SELECT {fx.SQL_MAX} // 2 AS top),
+a AS (SELECT row_number() OVER (ORDER BY lsn) AS n, op, id, vec FROM op_log),
+o AS (SELECT 1 AS replica, lsn, op, id, vec FROM op_log UNION ALL
+      SELECT 2, lsn, op, CASE WHEN lsn = top + 3 THEN id + 1 ELSE id END, vec FROM op_log, t WHERE lsn <= top * 2 - top // 5 UNION ALL
+      SELECT 3, lsn, op, id, CASE WHEN lsn > top THEN list_reverse(vec) ELSE vec END FROM op_log, t),
+b AS (SELECT replica, row_number() OVER (PARTITION BY replica ORDER BY lsn) AS n, op, id, vec FROM o)
+SELECT CAST(replica AS INT) AS replica, (SELECT count(*) FROM a) AS n_a, count(b.n) AS n_b, count(a.n) AS shared,
+       min(b.n) FILTER (a.n IS NOT NULL AND (a.op <> b.op OR a.id <> b.id OR a.vec IS DISTINCT FROM b.vec)) AS first_diff
+FROM b LEFT JOIN a ON a.n = b.n GROUP BY replica"""
+)
+def compare_replicas(spark, sf_dir):
+    """Replicas against replica 0: an equal one, a shorter one with another id, one with other vectors."""
+    ops = fx.op_log(spark, sf_dir)
+    turned = F.when(F.col("lsn") > fx.half(ops), F.reverse("vec")).otherwise(F.col("vec"))
+    return audit.disagreements(ops, {1: ops, 2: fx.replica(ops), 3: ops.withColumn("vec", turned)})
+
+
+@_query(
+    f"""
+WITH {fx.SQL_EMB}, {fx.SQL_LOG},
+l AS (SELECT arg_max(id, lsn) AS last, max(lsn) AS m, max(id) AS top, max(lsn) FILTER (op = 'put') AS p FROM op_log),
+c AS (SELECT coalesce(max(lsn), 0) AS cut FROM op_log, l WHERE id <> last),
+g AS (SELECT 'none' AS fault, lsn, op, id, vec FROM op_log UNION ALL
+      SELECT 'phantom', lsn, op, id, vec FROM op_log UNION ALL
+      SELECT 'phantom', m + 1, 'put', top + 1, vec FROM op_log, l WHERE lsn = p UNION ALL
+      SELECT 'missing', lsn, op, id, vec FROM op_log, c WHERE lsn <= cut UNION ALL
+      SELECT 'repeat', lsn, op, id, vec FROM op_log UNION ALL
+      SELECT 'repeat', m + 1, 'put', id, vec FROM op_log, l WHERE lsn = p),
+s AS (SELECT fault, id, arg_max(op, lsn) AS op, max(lsn) AS lsn FROM g GROUP BY fault, id),
+b AS (SELECT f.fault, id, op, lsn FROM s, (SELECT DISTINCT fault FROM g) f WHERE s.fault = 'none'),
+v AS (SELECT s.fault, s.id, s.op, g.vec FROM s JOIN g USING (fault, id, lsn)),
+w AS (SELECT b.fault, b.id, b.op, o.vec FROM b JOIN op_log o USING (id, lsn)),
+x AS (SELECT fault, id, 'phantom' AS finding FROM s WHERE id NOT IN (SELECT id FROM op_log) UNION ALL
+      SELECT fault, id, 'missing' FROM b WHERE NOT EXISTS (FROM s WHERE s.fault = b.fault AND s.id = b.id) UNION ALL
+      SELECT fault, id, 'mismatch' FROM (SELECT * FROM v WHERE op = 'put') v FULL JOIN (SELECT * FROM w WHERE op = 'put') w USING (fault, id) WHERE v.vec IS DISTINCT FROM w.vec)
+SELECT fault, finding, id FROM x UNION ALL SELECT 'corrupt', 'corrupt segment', 0 WHERE {fx.SQL_MAX} > {fx.SEGMENT}"""
+)
+def audit_faults(spark, sf_dir):
+    """What the audits find in a log after each fault, and nothing in the log as it is."""
+    ops = fx.op_log(spark, sf_dir)
+    emitted = ops.withColumn("standing", F.lit("confirmed"))
+    logs = {"none": ops, "phantom": audit.with_phantom(ops, emitted), "missing": audit.with_missing(ops), "repeat": audit.with_repeat(ops)}
+    at = F.col("lsn") - 1
+    records = ops.select(F.floor(at / fx.SEGMENT).alias("seg"), (at % fx.SEGMENT).alias("off"), F.lit(False).alias("is_bad"))
+    out = log.corrupt_segments(audit.with_corruption(records)).select(F.lit("corrupt").alias("fault"), F.lit("corrupt segment").alias("finding"), F.col("seg").alias("id"))
+    for fault, rows in logs.items():
+        out = out.unionByName(audit.findings(rows, emitted).select(F.lit(fault).alias("fault"), "finding", "id"))
+    return out
+
+
 @_query(
     f"""
 WITH {fx.SQL_EMB}, {fx.SQL_LOG}, {fx.sql_live("op_log")},
@@ -536,12 +649,15 @@ def index_set_diff(spark, sf_dir):
 @_query(
     f"""
 WITH {fx.SQL_EMB}, {fx.SQL_LOG}, {fx.sql_live("op_log")},
-r AS (SELECT sha256(id || '|' || len(vec) || '|' || array_to_string(list_transform(vec, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1e6) AS BIGINT) AS VARCHAR)), ',')) AS d FROM live),
+r AS (SELECT sha256(id || '|' || len(vec) || '|' || array_to_string(list_transform(CAST(vec AS DOUBLE[]), lambda x: {_EXACT}), ',')) AS d FROM live),
 s AS (SELECT count(*) AS n, {", ".join(f"sum(('0x' || substr(d, {1 + 8 * k}, 8))::BIGINT)::VARCHAR AS s{k}" for k in range(8))} FROM r)
 SELECT n, sha256(concat_ws(',', {", ".join(f"s{k}" for k in range(8))})) AS digest FROM s"""
 )
 def state_digest(spark, sf_dir):
-    return audit.state_digest(log.replay(fx.op_log(spark, sf_dir)))
+    """The digest of a stored log, read as an audit reads it."""
+    path = work_dir(spark)
+    append_log(fx.op_log(spark, sf_dir), f"{path}/log")
+    return audit.state_digest(log.replay(uncompacted_log(spark, path)))
 
 
 @_query(f"WITH {fx.SQL_EMB}, {fx.SQL_LOG}, {fx.sql_live('op_log')} SELECT count(*) AS n, true AS equal FROM live")
@@ -578,3 +694,30 @@ SELECT user_id, before + 1 AS first_missed, w - before - 1 AS n_missed FROM g WH
 )
 def service_health_windows(spark, sf_dir):
     return apply.missed_windows(fx.table(spark, sf_dir, "events"), 3600)
+
+
+@_query(
+    """
+WITH b AS (SELECT DISTINCT user_id, epoch_us(ts) // 3600000000 AS w FROM events),
+g AS (SELECT user_id, w, lead(w) OVER (PARTITION BY user_id ORDER BY w) AS next FROM b)
+SELECT user_id, w + 1 AS first_missed FROM g WHERE coalesce(next - w - 1 >= 2, true) AND w + 3 <= (SELECT max(w) FROM b)"""
+)
+def stream_health_sessions(spark, sf_dir):
+    """Users that fall silent for two hours, as a stream tells them: up to its watermark."""
+    path = work_dir(spark)
+    events = fx.table(spark, sf_dir, "events").select("user_id", "ts")
+    events.write.parquet(f"{path}/beats")
+    told = apply.unhealthy_since(spark.readStream.schema(events.schema).parquet(f"{path}/beats"), 3600)
+    told.writeStream.format("parquet").outputMode("append").option("path", f"{path}/told").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(told.schema).parquet(f"{path}/told")
+
+
+@_query("SELECT event_id, user_id FROM events")
+def stream_requests_once(spark, sf_dir):
+    """Every request is delivered twice and applied once."""
+    path = work_dir(spark)
+    events = fx.table(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
+    events.union(events).repartition(4).write.parquet(f"{path}/requests")
+    kept = apply.once(spark.readStream.schema(events.schema).parquet(f"{path}/requests"), "event_id", "ts", "1 hour").select("event_id", "user_id")
+    kept.writeStream.format("parquet").outputMode("append").option("path", f"{path}/kept").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{path}/kept")

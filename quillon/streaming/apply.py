@@ -65,3 +65,24 @@ def missed_windows(events: DataFrame, seconds: int, key: str = "user_id", ts: st
     beats = events.select(key, F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)).alias("w")).distinct()
     gaps = beats.withColumn("before", F.lag("w").over(Window.partitionBy(key).orderBy("w")))
     return gaps.select(key, (F.col("before") + 1).alias("first_missed"), (F.col("w") - F.col("before") - 1).alias("n_missed")).where(F.col("n_missed") >= streak)
+
+
+def unhealthy_since(beats: DataFrame, seconds: int, streak: int = 2, key: str = "user_id", ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
+    """``(key, first_missed)`` of a stream or a table: each time ``streak`` tumbling windows after a beat
+    pass without one, the number of the first of them.
+
+    One missed window fewer changes nothing (hysteresis).  Beats of windows closer than that are one
+    session; as a stream, a session is told when the watermark, ``delay`` behind, has passed its end.
+    """
+    start = F.timestamp_micros(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000)) * (seconds * 1_000_000))
+    alive = beats.select(F.col(key).alias("_key"), start.alias("_start")).withWatermark("_start", delay)
+    # sessions that touch are one, so a microsecond less
+    sessions = alive.groupBy("_key", F.session_window("_start", f"{(streak + 1) * seconds * 1_000_000 - 1} microseconds").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    first = F.floor(F.unix_micros("_s.end") / (seconds * 1_000_000)) - streak + 1
+    return sessions.select(F.col("_key").alias(key), first.cast("long").alias("first_missed"))
+
+
+def once(requests: DataFrame, request: str, ts: str, delay: str) -> DataFrame:
+    """A stream of requests that may be delivered again: the first of each, as long as the others come
+    within ``delay``.  State is kept no longer than that."""
+    return requests.withWatermark(ts, delay).dropDuplicatesWithinWatermark([request])
