@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import lean, remembers
+
 #: Distinct pieces kept by a worker; beyond it the memo is begun anew.
 MEMO_PIECES = 300_000
 #: Longer pieces aren't kept.
@@ -164,6 +166,15 @@ class ByteBPE:
 _codecs: dict[tuple[str, str], ByteBPE] = {}
 
 
+def forget() -> None:
+    """Lets go of the pieces that the worker's encoders remember."""
+    for bpe in _codecs.values():
+        bpe.memo = {}
+
+
+remembers("bpe", forget)
+
+
 def codec(ranks_path: str, pattern: str) -> ByteBPE:
     """The worker's encoder of that file, built once."""
     key = (ranks_path, pattern)
@@ -216,7 +227,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, ends array<int>, decodes boolean")
+    return picked.mapInArrow(lean("bpe", run), "doc_id long, n_tokens long, ids array<int>, ends array<int>, decodes boolean")
 
 
 def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -245,4 +256,4 @@ def encoded_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                 )
 
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string, n_split long")
+    return picked.mapInArrow(lean("bpe", run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string, n_split long")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,43 @@ def stored(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What this worker's operators remember, and how each forgets it.
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    """``operator`` keeps something between tasks that ``forget`` lets go of."""
+    _memos[operator] = forget
+
+
+def lean(operator: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The kernel ``run`` of ``operator`` in a worker that other operators' kernels have used before.
+
+    Workers live on from stage to stage: what others remember goes when this one begins, and memory
+    that isn't in use returns to the system when a task ends.
+    """
+
+    def kept(batches):
+        for other, forget in _memos.items():
+            if other != operator:
+                forget()
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return kept
+
+
+def trim() -> None:
+    """Gives unused memory back to the system, as far as the C library can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def release(spark: SparkSession) -> None:
     """Lets go of the shuffle files of steps whose results are stored.
 

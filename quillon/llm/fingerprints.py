@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks
-from quillon.llm.common import IdRanges
+from quillon.llm.common import IdRanges, lean
 from quillon.llm.shingles import shingle_hashes
 
 K = 256
@@ -149,7 +149,7 @@ def edited_pairs(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
                 columns = zip(*out, strict=True) if out else [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
-    return placed.select("_range", "_halo", "doc_id", "text").mapInArrow(run, _SCHEMA)
+    return placed.select("_range", "_halo", "doc_id", "text").mapInArrow(lean("shingles", run), _SCHEMA)
 
 
 def merged(sketches: DataFrame, key: str, k: int = K, sketch_col: str = "fingerprint") -> DataFrame:
@@ -172,5 +172,5 @@ def merged(sketches: DataFrame, key: str, k: int = K, sketch_col: str = "fingerp
             counts = [distinct(from_text(s), k) for s in out.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(counts, pa.float64())], names=[key, "fingerprint", "n_distinct"])
 
-    partial = sketches.select(key, F.col(sketch_col).alias("fingerprint")).mapInArrow(local, f"{key} {kind}, fingerprint string")
-    return partial.repartition(key).mapInArrow(final, f"{key} {kind}, fingerprint string, n_distinct double")
+    partial = sketches.select(key, F.col(sketch_col).alias("fingerprint")).mapInArrow(lean("shingles", local), f"{key} {kind}, fingerprint string")
+    return partial.repartition(key).mapInArrow(lean("shingles", final), f"{key} {kind}, fingerprint string, n_distinct double")

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks
-from quillon.llm.common import release, shared_dir, stored
+from quillon.llm.common import lean, release, shared_dir, stored
 from quillon.llm.components import components
 from quillon.llm.shingles import mix, shingle_hashes
 
@@ -157,7 +157,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [pa.array(list(x), t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], names=["doc_id", "n_shingles", "set_key", "bands", "odd", "filled"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SIGNED)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean("shingles", run), _SIGNED)
 
 
 def _sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -174,7 +174,7 @@ def _sketched(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
             share = d / np.maximum(1, filled[0] + filled[1])
             yield pa.RecordBatch.from_arrays([pa.array(ids[0][ok]), pa.array(ids[1][ok]), pa.array(share[ok])], names=["a", "b", "d"])
 
-    return both.mapInArrow(run, "a long, b long, d double")
+    return both.mapInArrow(lean("shingles", run), "a long, b long, d double")
 
 
 def _columns(batch, names) -> list[np.ndarray]:
@@ -224,7 +224,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
                     x, y = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 
-    return placed.mapInArrow(run, "a long, b long")
+    return placed.mapInArrow(lean("shingles", run), "a long, b long")
 
 
 def _hub_pairs(buckets: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -361,7 +361,7 @@ def _by_cell(rows: DataFrame, found, schema: str, percent: int, more: tuple[str,
         if held:
             yield from told(held)
 
-    return placed.select(*_MEMBER, *_SKETCHES, *more).mapInArrow(run, schema)
+    return placed.select(*_MEMBER, *_SKETCHES, *more).mapInArrow(lean("shingles", run), schema)
 
 
 def _suspects(cells: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
@@ -386,7 +386,7 @@ def _sets(texts: DataFrame) -> DataFrame:
                 sets = [shingle_hashes(raw).tobytes() for raw in part.column("text").cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([xxhash.xxh3_128_digest(x) for x in sets], pa.binary()), pa.array(sets, pa.binary())], names=["id", "key", "hashes"])
 
-    return texts.mapInArrow(run, "id long, key binary, hashes binary")
+    return texts.mapInArrow(lean("shingles", run), "id long, key binary, hashes binary")
 
 
 def _spanning(cells: DataFrame, reps: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from quillon.llm.common import remembers
+
 WORDS = 5
 #: Distinct words whose hashes a worker keeps.
 MEMO_WORDS = 400_000
@@ -29,6 +31,7 @@ class _Memo(dict):
 
 
 _memo = _Memo()
+remembers("shingles", _memo.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

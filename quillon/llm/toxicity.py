@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe import chunks
+from quillon.llm.common import lean
 
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE_DOCS = 12_000
@@ -258,7 +259,7 @@ def _per_document(sample: DataFrame, models: list[Model], schema: str, row) -> l
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(list(x)) for x in zip(*rows, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-    return sample.select("text", "toxic", "part").mapInArrow(run, schema).collect()
+    return sample.select("text", "toxic", "part").mapInArrow(lean("toxicity", run), schema).collect()
 
 
 def _fit(sample: DataFrame) -> Model:
@@ -278,7 +279,7 @@ def _fit(sample: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([x[f] for f in names], pa.int64()) for x in found]], names=["f", *columns])
 
     columns = [f"t{k}" for k in range(FOLDS)] + [f"c{k}" for k in range(FOLDS)]
-    counts = sample.select("text", "toxic", "part").mapInArrow(counted, "f string, " + ", ".join(f"{c} long" for c in columns)).groupBy("f").agg(*[F.sum(c).alias(c) for c in columns])
+    counts = sample.select("text", "toxic", "part").mapInArrow(lean("toxicity", counted), "f string, " + ", ".join(f"{c} long" for c in columns)).groupBy("f").agg(*[F.sum(c).alias(c) for c in columns])
 
     def significance(but: int):
         folds = [k for k in range(FOLDS) if k != but]
@@ -327,7 +328,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             for part in chunks(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([model.score(t) for t in part.column("text").to_pylist()], pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean("toxicity", run), "doc_id long, score double")
 
 
 def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -339,7 +340,7 @@ def clean_documents(docs: DataFrame, model: Model, text_col: str = "text", thres
                 keep = pa.array([model.score(t) < threshold for t in part.column(text_col).to_pylist()], pa.bool_())
                 yield part.filter(keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean("toxicity", run), docs.schema)
 
 
 def toxic_passages(docs: DataFrame, model: Model, p: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,4 +353,4 @@ def toxic_passages(docs: DataFrame, model: Model, p: float = 0.05, id_col: str =
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)], names=["doc_id", "begin", "end", "score", "p_value"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, begin long, end long, score double, p_value double")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean("toxicity", run), "doc_id long, begin long, end long, score double, p_value double")

@@ -633,3 +633,19 @@ def test_pipeline_stages_take_odd_rows(spark):
             assert got == want - Counter({5: 3}), name
         else:
             assert all(n <= 3 * want[i] for i, n in got.items()), name
+
+
+def test_workers_forget_what_other_operators_remember():
+    from quillon.llm.common import lean
+
+    shingles.shingle_hashes(b"a b c d e f")
+    assert shingles._memo
+    assert list(lean("shingles", lambda batches: iter([len(shingles._memo) > 0]))([])) == [True]
+    assert list(lean("bpe", lambda batches: iter([len(shingles._memo)]))([])) == [0]
+    codec = bpe.codec(RANKS, public_tokenizers.PATTERN)
+    codec.encode("some words to remember")
+    assert codec.memo
+    list(lean("bpe", lambda batches: iter(()))([]))
+    assert codec.memo
+    list(lean("toxicity", lambda batches: iter(()))([]))
+    assert not codec.memo
