@@ -635,6 +635,21 @@ def test_pipeline_stages_take_odd_rows(spark):
             assert all(n <= 3 * want[i] for i, n in got.items()), name
 
 
+def test_strings_without_an_equal_stay_out_of_the_arrays():
+    r = np.random.default_rng(7)
+    lone = [bytes(r.integers(97, 123, 300, np.uint8)) for _ in range(40)]
+    pieces = [(i, 0, 5, x) for i, x in enumerate(lone)] + [(100, 0, 0, b"__" + lone[3][50:200]), (101, 0, 9, lone[3][100:260])]
+    left = substring_dedup.sieved(pieces, 100)
+    assert sum(len(p[3]) for p in left) < 1000 < sum(len(p[3]) for p in pieces)
+
+    def runs(pieces):
+        owner, begin, end = (x.tolist() for x in substring_dedup.repeats_of(pieces, 100))
+        return sorted((pieces[o][0], pieces[o][2] + b, pieces[o][2] + e) for o, b, e in zip(owner, begin, end, strict=True))
+
+    assert runs(left) == runs(pieces) == [(100, 2, 152), (101, 9, 169)]
+    assert substring_dedup.sieved(pieces[:40], 100) == []
+
+
 def test_workers_forget_what_other_operators_remember():
     from quillon.llm.common import lean
 
